@@ -7,9 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import held_out, table
+from .packing import CAPACITY, pack
 from .pii import pii_report
+from .quality import fit_quality, quality_scores
 from .sharding import shard
+from .tokens import vocabulary_path
+from .toxicity import fit_toxicity, toxicity_scores
+
+
+def _predicted(scores: DataFrame, threshold: float) -> DataFrame:
+    return scores.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _predicted(toxicity_scores(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"))), 0.5)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,14 +30,26 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), CAPACITY, end_id=1)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _predicted(quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels"))), 0.3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_sharding": op2_sharding,
+        "op4_packing": op4_packing,
         "op5_pii": op5_pii,
+        "op10_quality": op10_quality,
     }
 
 
