@@ -1,15 +1,401 @@
-"""All queries of the engine by key, with the SQL that gives the same rows."""
+"""All queries of the engine by key, with the SQL that gives the same rows.
+
+Phrase tables are not expressible in SQL at a bearable cost; their queries have an oracle where an invariant of theirs has.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from needlework.functions import text as fn
+from needlework.operators import ingest, lists, occurrence, phrases, topk
+from needlework.sources import collections as src
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+PATTERN, CROSSING, COMMON = "ata", "tion the", "the"
+BATCH = [(0, "the", 10), (1, "ata", 3), (2, "tion the", 5), (3, "ing", 10), (4, "==", 4), (5, "è l", 7)]
+GRAM, G = 4, 32
+LISTED = [(0, "tion", 10), (1, " the", 3), (2, "atio", 100), (3, "qzx!", 4), (4, "ata ", 500)]
+LETTERS = "aeilnorst"
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return src.corpus(src.table(spark, d, "documents"))
+
+
+def _patterns(spark: SparkSession, rows: list[tuple[int, str, int]]) -> DataFrame:
+    return spark.createDataFrame(rows, "pattern_id long, pattern string, k int")
+
+
+def _phrases(spark: SparkSession, d: str) -> DataFrame:
+    return phrases.lz78_phrases(_docs(spark, d))
+
+
+def _longs(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+def _digest(df: DataFrame, column: str = "text") -> DataFrame:
+    return df.withColumn("digest", F.md5(F.encode(column, "UTF-8"))).drop(column)
+
+
+# -- sources and normalisers
+
+
+def scan_documents(spark, d):
+    return _docs(spark, d)
+
+
+def doc_numbering(spark, d):
+    return src.numbered(_docs(spark, d).select("doc_id"), "doc_id")
+
+
+def doc_length(spark, d):
+    return _docs(spark, d).select("doc_id", "doc_length")
+
+
+def normalize_list_mode(spark, d):
+    return _digest(_docs(spark, d).select("doc_id", fn.list_mode(F.col("text")).alias("text")))
+
+
+def ascii_lowercase(spark, d):
+    return _digest(_docs(spark, d).select("doc_id", fn.ascii_lower(F.col("text")).alias("text")))
+
+
+def drop_last_byte(spark, d):
+    return _digest(_docs(spark, d).select("doc_id", fn.drop_last(fn.list_mode(F.col("text"))).alias("text")))
+
+
+def split_single_file(spark, d):
+    turns = src.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    files = turns.select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), "#").alias("file"))
+    docs = files.select("conv_id", F.posexplode(fn.documents_of(F.col("file"), "#")).alias("doc_no", "text"))
+    return _longs(_digest(docs), "doc_no")
+
+
+def patterns_from_lines(spark, d):
+    lines = src.table(spark, d, "conversations").select(F.explode(F.split("text", "\n")).alias("value"))
+    return src.patterns_of(lines)
+
+
+def patterns_max_one_space(spark, d):
+    lines = src.table(spark, d, "conversations").select(F.explode(F.split("text", "\n")).alias("value"))
+    return src.patterns_of(lines, most_spaces=1)
+
+
+def sample_patterns(spark, d):
+    return ingest.sample_patterns(_docs(spark, d), 6, 100)
+
+
+def symbol_histogram(spark, d):
+    return ingest.symbol_histogram(_docs(spark, d))
+
+
+def alphabet_size(spark, d):
+    return ingest.alphabet_size(_docs(spark, d))
+
+
+def symbol_priority(spark, d):
+    return ingest.symbol_priority(ingest.symbol_histogram(_docs(spark, d)))
+
+
+def corpus_stats(spark, d):
+    return _longs(ingest.corpus_stats(_docs(spark, d)), "n_bits", "doc_bits")
+
+
+def index_meta(spark, d):
+    docs = _docs(spark, d)
+    return corpus_stats(spark, d).crossJoin(ingest.alphabet_size(docs)).withColumn("g", F.lit(G).cast("long"))  # one row each
+
+
+# -- occurrences
+
+
+def count_occurrences(spark, d):
+    return occurrence.count_occurrences(_docs(spark, d), PATTERN)
+
+
+def tf_per_document(spark, d):
+    return occurrence.tf_per_document(_docs(spark, d), PATTERN)
+
+
+def document_frequency(spark, d):
+    return occurrence.document_frequency(_docs(spark, d), COMMON)
+
+
+def document_listing(spark, d):
+    return occurrence.document_listing(_docs(spark, d), CROSSING)
+
+
+def pattern_exists(spark, d):
+    return _longs(occurrence.pattern_exists(_docs(spark, d), PATTERN), "found")
+
+
+def locate_positions(spark, d):
+    return occurrence.locate_positions(_docs(spark, d), PATTERN)
+
+
+def position_to_document(spark, d):
+    docs = _docs(spark, d)
+    offsets = ingest.doc_offsets(docs)
+    found = occurrence.locate_positions(docs, CROSSING).join(offsets, "doc_id").select((F.col("doc_start") + F.col("pos")).alias("text_pos"))
+    return ingest.position_to_document(offsets, found)
+
+
+# -- top-k
+
+
+def topk_documents(spark, d):
+    return topk.topk_documents(_docs(spark, d), PATTERN, 10)
+
+
+def topk_batch(spark, d):
+    return _longs(topk.topk_batch(_docs(spark, d), _patterns(spark, BATCH), 10), "rank")
+
+
+def topk_batch_automaton(spark, d):
+    bigrams = [(i, a + b, 3) for i, (a, b) in enumerate((a, b) for a in LETTERS for b in LETTERS)]
+    return _longs(topk.topk_batch(_docs(spark, d), _patterns(spark, bigrams), 3), "rank")
+
+
+def topk_tiebreak_length(spark, d):
+    return topk.topk_documents(_docs(spark, d), "ata ", 200)
+
+
+# -- stored lists
+
+
+def frequent_phrases(spark, d):
+    return lists.frequent_patterns(lists.gram_frequencies(_docs(spark, d), GRAM), G)
+
+
+def kstar_budget(spark, d):
+    docs = _docs(spark, d)
+    out = lists.budgets(frequent_phrases(spark, d), G, docs.count())
+    return out.withColumn("is_complete", F.col("is_complete").cast("long"))
+
+
+def _lists(spark, d):
+    docs = _docs(spark, d)
+    return lists.build_gram_lists(docs, GRAM, G, docs.count())
+
+
+def build_topk_lists(spark, d):
+    rows = _lists(spark, d).select("pattern", F.explode("docs").alias("x"))
+    return rows.select("pattern", F.col("x.rank").cast("long").alias("rank"), F.col("x.doc_id").alias("doc_id"), F.col("x.tf").alias("tf"))
+
+
+def topk_from_lists(spark, d):
+    return _longs(lists.from_lists(_patterns(spark, LISTED), _lists(spark, d)), "rank")
+
+
+def topk_cache_misses(spark, d):
+    return lists.misses(_patterns(spark, LISTED), _lists(spark, d)).select("pattern_id", "pattern", F.col("k").cast("long").alias("k"))
+
+
+def topk_routed(spark, d):
+    return _longs(lists.routed_topk(_docs(spark, d), _patterns(spark, LISTED), _lists(spark, d), 500), "rank")
+
+
+# -- phrases
+
+
+def lz78_phrases(spark, d):
+    return _phrases(spark, d)
+
+
+def lz78_parse_stats(spark, d):
+    return phrases.parse_stats(_phrases(spark, d))
+
+
+def phrase_preorder(spark, d):
+    return phrases.preorder(_phrases(spark, d)).select("phrase_id", "doc_id", "preorder")
+
+
+def phrase_trie_listing(spark, d):
+    return phrases.trie_listing(_phrases(spark, d))
+
+
+def phrase_doc_array(spark, d):
+    return phrases.doc_array(_phrases(spark, d))
+
+
+def phrase_lookup_exact(spark, d):
+    return phrases.lookup_exact(_phrases(spark, d), "ent")
+
+
+def phrases_ending_with(spark, d):
+    return phrases.ending_with(_phrases(spark, d), "on")
+
+
+def reverse_phrases(spark, d):
+    return phrases.reversed_phrases(_phrases(spark, d))
+
+
+def adjacent_phrases(spark, d):
+    return phrases.adjacent(_phrases(spark, d))
+
+
+def next_phrase(spark, d):
+    return phrases.next_phrase(_phrases(spark, d))
+
+
+def subtree_size(spark, d):
+    return phrases.subtree_size(_phrases(spark, d), "th")
+
+
+def fictitious_nodes(spark, d):
+    return phrases.fictitious_nodes(_phrases(spark, d))
+
+
+def pattern_phrase_factors(spark, d):
+    return phrases.pattern_factors(_phrases(spark, d), CROSSING)
+
+
+def range_report(spark, d):
+    return phrases.range_report(_phrases(spark, d), "t", "he")
+
+
+def range_exists_semi(spark, d):
+    return phrases.range_exists(_phrases(spark, d), "th")
+
+
+def phrase_to_document(spark, d):
+    own = _phrases(spark, d)
+    return phrases.phrase_to_document(own, phrases.ending_with(own, "ing").select("phrase_id"))
+
+
+def occ_type1(spark, d):
+    return phrases.occ_type1(_phrases(spark, d), COMMON)
+
+
+def occ_type2(spark, d):
+    return phrases.occ_type2(_phrases(spark, d), COMMON)
+
+
+def occ_type3(spark, d):
+    return phrases.occ_type3(_phrases(spark, d), CROSSING)
+
+
+def occ_all_types(spark, d):
+    return phrases.occ_all_types(_phrases(spark, d), CROSSING)
+
+
+def occurrence_types(spark, d):
+    return phrases.occurrence_types(_phrases(spark, d), occurrence.locate_positions(_docs(spark, d), CROSSING), len(CROSSING))
+
+
+_QUERIES: list[Query] = [
+    scan_documents, doc_numbering, doc_length, normalize_list_mode, ascii_lowercase, drop_last_byte, split_single_file, patterns_from_lines,
+    patterns_max_one_space, sample_patterns, symbol_histogram, alphabet_size, symbol_priority, corpus_stats, index_meta, count_occurrences,
+    tf_per_document, document_frequency, document_listing, pattern_exists, locate_positions, position_to_document, topk_documents, topk_batch,
+    topk_batch_automaton, topk_tiebreak_length, frequent_phrases, kstar_budget, build_topk_lists, topk_from_lists, topk_cache_misses, topk_routed,
+    lz78_phrases, lz78_parse_stats, phrase_preorder, phrase_trie_listing, phrase_doc_array, phrase_lookup_exact, phrases_ending_with,
+    reverse_phrases, adjacent_phrases, next_phrase, subtree_size, fictitious_nodes, pattern_phrase_factors, range_report, range_exists_semi,
+    phrase_to_document, occ_type1, occ_type2, occ_type3, occ_all_types, occurrence_types,
+]
+
+
+def queries() -> dict[str, Query]:
+    return {q.__name__: q for q in _QUERIES}
+
+
+# -- SQL
+
+_CHARS = "c AS (SELECT doc_id, strlen(text)::BIGINT AS doc_length, string_split(text, '') AS a FROM documents WHERE text IS NOT NULL)"
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _places(pattern: str) -> str:
+    """DuckDB: the positions (from 1) of a pattern in the character array a, overlapping ones too."""
+    same = " AND ".join(f"a[i+{j}]={_literal(c)}" for j, c in enumerate(pattern))
+    return f"list_filter(range(1, len(a) - {len(pattern)} + 2), lambda i: {same})"
+
+
+def _tf(pattern: str) -> str:
+    return f"SELECT doc_id, doc_length, len({_places(pattern)})::BIGINT AS tf FROM c"
+
+
+def _ranked(rows: list[tuple[int, str, int]]) -> str:
+    each = " UNION ALL ".join(f"SELECT {i}::BIGINT AS pattern_id, {k} AS k, * FROM ({_tf(p)})" for i, p, k in rows)
+    return f"t AS ({each}), r AS (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY tf DESC, doc_length DESC, doc_id) AS rank FROM t WHERE tf > 0)"
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+_LIST_MODE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x{80}-\x{7FF}]', '  ', 'g'), '[\x{800}-\x{FFFF}]', '   ', 'g'), '[\x{10000}-\x{10FFFF}]', '    ', 'g'), '[\x00-\x01]', ' ', 'g')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LINES = "SELECT unnest(string_split(text, chr(10))) AS pattern FROM conversations"
+_SYMBOLS = "SELECT symbol, count(*)::BIGINT AS freq FROM (SELECT unnest(string_split(text, '')) AS symbol FROM documents) WHERE symbol <> '' GROUP BY symbol"
+_STATS = (
+    "SELECT count(*)::BIGINT AS n_docs, sum(strlen(text) + 1)::BIGINT AS n, max(strlen(text))::BIGINT AS longest, "
+    "ceil(log2(sum(strlen(text) + 1)))::BIGINT AS n_bits, ceil(log2(count(*)))::BIGINT AS doc_bits FROM documents"
+)
+_GRAMS = (
+    f"{_CHARS}, g AS (SELECT doc_id, doc_length, unnest(list_transform(range(1, len(a) - {GRAM} + 2), lambda i: {' || '.join(f'a[i+{j}]' for j in range(GRAM))})) AS pattern FROM c), "
+    "f AS (SELECT pattern, doc_id, doc_length, count(*)::BIGINT AS tf FROM g GROUP BY ALL), "
+    f"p AS (SELECT pattern, sum(tf)::BIGINT AS occ, count(*)::BIGINT AS n_docs FROM f GROUP BY pattern HAVING sum(tf) > {G}), "
+    f"b AS (SELECT *, least((1::BIGINT << length(bin(occ // {G})))::BIGINT, (SELECT count(*) FROM documents)) AS cap FROM p), "
+    "k AS (SELECT pattern, occ, n_docs, CASE WHEN n_docs <= cap THEN n_docs ELSE cap END AS k_star, (n_docs <= cap)::BIGINT AS is_complete FROM b), "
+    "l AS (SELECT * FROM (SELECT f.pattern, f.doc_id, f.tf, f.doc_length, k.k_star, k.is_complete, row_number() OVER (PARTITION BY f.pattern ORDER BY f.tf DESC, f.doc_length DESC, f.doc_id) AS rank FROM f JOIN k USING (pattern)) WHERE rank <= k_star)"
+)
+_LISTED = "q(pattern_id, pattern, k) AS (VALUES " + ", ".join(f"({i}::BIGINT, {_literal(p)}, {k}::BIGINT)" for i, p, k in LISTED) + ")"
+_HITS = "SELECT q.pattern_id FROM q JOIN k USING (pattern) WHERE k.is_complete = 1 OR k.k_star >= q.k"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    starts = "o AS (SELECT doc_id, a, coalesce(sum(len(a) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS doc_start FROM c)"
+    bigrams = [(i, x + y, 3) for i, (x, y) in enumerate((x, y) for x in LETTERS for y in LETTERS)]
+    names = ", ".join(f"({i}::BIGINT, {_literal(p)})" for i, p, _ in bigrams)
+    return {
+        "scan_documents": "SELECT doc_id, text, strlen(text)::BIGINT AS doc_length FROM documents",
+        "doc_numbering": "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS doc_no FROM documents",
+        "doc_length": "SELECT doc_id, strlen(text)::BIGINT AS doc_length FROM documents",
+        "normalize_list_mode": f"SELECT doc_id, md5({_LIST_MODE}) AS digest FROM documents",
+        "ascii_lowercase": f"SELECT doc_id, md5({_LOWER}) AS digest FROM documents",
+        "drop_last_byte": f"SELECT doc_id, md5(left(t, (length(t) - 1)::BIGINT)) AS digest FROM (SELECT doc_id, {_LIST_MODE} AS t FROM documents)",
+        "split_single_file": (
+            "WITH f AS (SELECT conv_id, string_split(string_agg(text, '#' ORDER BY turn), '#') AS s FROM conversations GROUP BY conv_id), "
+            "u AS (SELECT conv_id, len(s) AS last, unnest(s) AS part, generate_subscripts(s, 1) AS i FROM f), "
+            "g AS (SELECT *, sum(CASE WHEN i > 1 AND part = '' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY i) AS n FROM u) "
+            "SELECT conv_id, (n - 1)::BIGINT AS doc_no, md5(string_agg(CASE WHEN i > 1 AND part = '' THEN (CASE WHEN i = last THEN '' ELSE chr(10) END) ELSE part END, '' ORDER BY i)) AS digest FROM g GROUP BY conv_id, n"
+        ),
+        "patterns_from_lines": f"SELECT pattern FROM ({_LINES}) WHERE strlen(pattern) BETWEEN 3 AND 99",
+        "patterns_max_one_space": f"SELECT pattern FROM ({_LINES}) WHERE strlen(pattern) BETWEEN 3 AND 99 AND len(regexp_extract_all(pattern, '\\s')) <= 1",
+        "symbol_histogram": _SYMBOLS,
+        "alphabet_size": f"SELECT count(*)::BIGINT AS sigma FROM ({_SYMBOLS})",
+        "symbol_priority": (
+            f"WITH r AS (SELECT symbol, freq, (row_number() OVER (ORDER BY freq DESC, symbol) - 1)::BIGINT AS rank FROM ({_SYMBOLS})) "
+            "SELECT *, (CASE WHEN (rank // 16) % 2 = 0 THEN rank % 16 ELSE 15 - rank % 16 END)::BIGINT AS slot FROM r"
+        ),
+        "corpus_stats": _STATS,
+        "index_meta": f"SELECT s.*, a.sigma, {G}::BIGINT AS g FROM ({_STATS}) s, (SELECT count(*)::BIGINT AS sigma FROM ({_SYMBOLS})) a",
+        "count_occurrences": f"WITH {_CHARS} SELECT sum(tf)::BIGINT AS occurrences FROM ({_tf(PATTERN)})",
+        "tf_per_document": f"WITH {_CHARS} SELECT * FROM ({_tf(PATTERN)}) WHERE tf > 0",
+        "document_frequency": f"SELECT count(*)::BIGINT AS n_docs FROM documents WHERE contains(text, {_literal(COMMON)})",
+        "document_listing": f"SELECT doc_id FROM documents WHERE contains(text, {_literal(CROSSING)})",
+        "pattern_exists": f"SELECT (count(*) > 0)::BIGINT AS found FROM documents WHERE contains(text, {_literal(PATTERN)})",
+        "locate_positions": f"WITH {_CHARS} SELECT doc_id, unnest({_places(PATTERN)})::BIGINT - 1 AS pos FROM c",
+        "position_to_document": f"WITH {_CHARS}, {starts} SELECT doc_start + unnest({_places(CROSSING)})::BIGINT - 1 AS text_pos, doc_id FROM o",
+        "topk_documents": f"WITH {_CHARS} SELECT doc_id, doc_length, tf FROM ({_tf(PATTERN)}) WHERE tf > 0 ORDER BY tf DESC, doc_length DESC, doc_id LIMIT 10",
+        "topk_batch": f"WITH {_CHARS}, {_ranked(BATCH)} SELECT pattern_id, rank, doc_id, tf, doc_length FROM r WHERE rank <= k",
+        "topk_batch_automaton": (
+            f"WITH {_CHARS}, g AS (SELECT doc_id, doc_length, unnest(list_transform(range(1, len(a)), lambda i: a[i] || a[i+1])) AS pattern FROM c), q(pattern_id, pattern) AS (VALUES {names}), "
+            "f AS (SELECT pattern_id, doc_id, doc_length, count(*)::BIGINT AS tf FROM g JOIN q USING (pattern) GROUP BY ALL) "
+            "SELECT * FROM (SELECT pattern_id, row_number() OVER (PARTITION BY pattern_id ORDER BY tf DESC, doc_length DESC, doc_id) AS rank, doc_id, tf, doc_length FROM f) WHERE rank <= 3"
+        ),
+        "topk_tiebreak_length": f"WITH {_CHARS} SELECT doc_id, doc_length, tf FROM ({_tf('ata ')}) WHERE tf > 0 ORDER BY tf DESC, doc_length DESC, doc_id LIMIT 200",
+        "frequent_phrases": f"WITH {_GRAMS} SELECT * FROM p",
+        "kstar_budget": f"WITH {_GRAMS} SELECT * FROM k",
+        "build_topk_lists": f"WITH {_GRAMS} SELECT pattern, rank, doc_id, tf FROM l",
+        "topk_from_lists": f"WITH {_GRAMS}, {_LISTED}, h AS ({_HITS}) SELECT q.pattern_id, l.rank, l.doc_id, l.tf, l.doc_length FROM q JOIN h USING (pattern_id) JOIN l USING (pattern) WHERE l.rank <= q.k",
+        "topk_cache_misses": f"WITH {_GRAMS}, {_LISTED} SELECT * FROM q WHERE pattern_id NOT IN ({_HITS})",
+        "topk_routed": f"WITH {_CHARS}, {_ranked(LISTED)} SELECT pattern_id, rank, doc_id, tf, doc_length FROM r WHERE rank <= k",
+        "lz78_parse_stats": "SELECT doc_id, (length(text) + 1)::BIGINT AS n_symbols FROM documents",
+        "occ_all_types": f"WITH {_CHARS} SELECT doc_id, tf FROM ({_tf(CROSSING)}) WHERE tf > 0",
+    }
