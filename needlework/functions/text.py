@@ -84,4 +84,4 @@ def documents_of(text: Column, delimiter: str) -> Column:
 
 def list_budget(occurrences: Column, g: int, n_docs: Column) -> Column:
     """How many documents a stored list keeps: the least power of two whose g-fold exceeds the occurrences, at most all."""
-    return F.least(F.shiftleft(F.lit(1).cast("long"), F.length(F.bin(F.floor(occurrences / g)))), n_docs).cast("long")
+    return F.least(F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.floor(occurrences / g)))), n_docs).cast("long")
