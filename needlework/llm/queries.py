@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .common import held_out, table
+from .decontaminate import benchmark_leaks
+from .jaccard import jaccard_components
+from .licenses import corpus_negatives, fit_licenses, license_scan
 from .packing import CAPACITY, pack
 from .pii import pii_report
 from .quality import fit_quality, quality_scores
+from .rollup import TokenLedger, count_tokens, surplus_copies
 from .sharding import shard
 from .tokens import vocabulary_path
 from .toxicity import fit_toxicity, toxicity_scores
@@ -30,6 +35,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), CAPACITY, end_id=1)
 
@@ -38,6 +47,38 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license_scan(docs, fit_licenses(corpus_negatives(docs, 1_000)))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under two tokenizer versions; then surplus copies are taken back; both batches are committed twice."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    versions = {name: (vocabulary_path(f"{name}.tiktoken"), public_tokenizers.PATTERN) for name in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    ledger = TokenLedger(spark)
+    for _ in range(2):  # the second round finds both ids committed and changes nothing
+        ledger.insert("all", count_tokens(docs, versions))
+        ledger.delete("copies", surplus_copies(docs))
+    return ledger.totals()
+
+
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), n=3, num=9, den=10)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return _predicted(quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels"))), 0.3)
@@ -47,9 +88,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_sharding": op2_sharding,
+        "op3_decontamination": op3_decontamination,
         "op4_packing": op4_packing,
         "op5_pii": op5_pii,
+        "op6_ann": op6_ann,
+        "op7_licenses": op7_licenses,
+        "op8_token_counts": op8_token_counts,
+        "op9_jaccard": op9_jaccard,
         "op10_quality": op10_quality,
+        "pipeline": pipeline,
     }
 
 
