@@ -182,8 +182,9 @@ def _softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 400, r
 
 
 def corpus_negatives(docs: DataFrame, bound: int) -> list[str]:
-    """At most ``bound`` first words of paragraphs without licence words, from documents chosen by a hash."""
-    lines = docs.select(F.xxhash64("doc_id").alias("h"), F.explode(F.split(F.substring("text", 1, 4000), "\n")).alias("line"))
+    """At most ``bound`` paragraphs without licence words, for training: from as many documents, chosen by a hash."""
+    chosen = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, 4000).alias("head")).orderBy("h").limit(bound)
+    lines = chosen.select("h", F.explode(F.split("head", "\n")).alias("line"))
     plain = lines.where(~F.lower("line").rlike("licen|rights reserved|public domain|copyright|spdx|permission|redistribut") & (F.length("line") > 20))
     return [r.line for r in plain.orderBy("h", "line").limit(bound).select(F.substring("line", 1, 300).alias("line")).collect()]
 

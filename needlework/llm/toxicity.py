@@ -37,7 +37,7 @@ HOMOGLYPHS = str.maketrans(
 )
 SUBSTITUTES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 
-_OBFUSCATED = re.compile(r"[^\W\d_](?:[013457@$]+[^\W\d_])+|(?<!\S)[1450@$][^\W\d_]+")
+_OBFUSCATED = re.compile(r"[^\W\d_](?:[013457@$]+[^\W\d_]+)+|(?<!\S)[1450@$]+[^\W\d_]+(?:[013457@$]+[^\W\d_]+)*")
 _OTHER_SCRIPT = re.compile("[Ͱ-ԯԱ-֏ɐ-ʯⅠ-ↈ]")
 _GAPS = re.compile(r"[^\w]+|_+")
 
