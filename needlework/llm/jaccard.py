@@ -8,7 +8,9 @@ found for classes of equal sets only, and what is returned is each document's co
 2. Index. The first s - ceil(t s) + 1 shingles of a set of size s are its prefix; two linked sets share one. Each entry
    (shingle, set, size) goes to the shingle's list. Lists are cut where sizes lie too far apart to link.
 3. Families. Every list of two or more sets hands its sets to the family of its first set, so each pair that shares a
-   prefix shingle meets in a family. A set's shingles travel once for each of its families, not for each list.
+   prefix shingle meets in a family. First only a parity bitmap of each set travels, about two bits a shingle: where two
+   bitmaps differ in more bits than the sets' difference may have elements, the pair can't link, and sets without any
+   possible partner leave the family. Then the shingles of the rest travel, once for each family that is left.
 4. Join inside a family: an index over the family's own rare-first order whose lists are blocks of positions; blocks that
    lie too far back for the required overlap are skipped (index-level skipping). Sets that are in one component already
    are not compared again, and known distances to a highly similar set decide others by the triangle inequality without
@@ -29,8 +31,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +44,8 @@ from .components import connected_components
 
 SKETCH_BITS = 18
 CELLS = 1 << SKETCH_BITS
+#: Level of shingles that are expected once; levels below tell rarer ones apart, down to 2^-RARE.
+RARE = 28
 #: Lists that may be longer than this are led by an aggregation and a join instead of a window.
 LONG_LIST = 1 << 14
 
@@ -98,11 +102,11 @@ class Order:
         """A small number for each shingle, about the logarithm of its expected or seen frequency; 0 is rare."""
         n = min(n, len(words))
         logs = self.word_log[(words >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-        # expected count if words met at random, in powers of two above a twentieth
+        # expected count if words met at random, in powers of two
         expected = np.full(len(hashes), self.log_total, np.float32)
         for k in range(n):
             expected += logs[k : len(words) - n + 1 + k]
-        by_words = np.clip(np.ceil(expected / math.log(2) + 4.3), 0, 60).astype(np.uint8)
+        by_words = np.clip(np.ceil(expected / math.log(2)) + RARE, 0, 63).astype(np.uint8)
         return np.maximum(by_words, self.shingle_level[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)])
 
 
@@ -133,7 +137,7 @@ def corpus_order(docs: DataFrame, n: int) -> Order:
     words, seen = cells[:CELLS], cells[CELLS:]
     mean = seen.sum() / CELLS
     above = seen - mean
-    level = np.where(above > 6 * math.sqrt(mean) + 16, np.clip(np.ceil(np.log2(np.maximum(above, 1)) + 4.3), 0, 60), 0)
+    level = np.where(above > 6 * math.sqrt(mean) + 16, np.clip(np.ceil(np.log2(np.maximum(above, 1))) + RARE, 0, 63), 0)
     return Order(np.log(np.maximum(words, 1) / max(words.sum(), 1)).astype(np.float32), level.astype(np.uint8), seen > LONG_LIST, math.log(max(seen.sum(), 1)))
 
 
@@ -141,6 +145,37 @@ def prefix_size(size: int, num: int, den: int) -> int:
     return size - -(-num * size // den) + 1
 
 
+def parity_bitmap(hashes: np.ndarray) -> bytes:
+    """For each of 2^b cells, at least 64 and one a shingle, whether an odd number of shingles falls into it."""
+    cells = max(64, 1 << (len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def possible_partners(sizes: np.ndarray, bitmaps: list[bytes], num: int, den: int) -> np.ndarray:
+    """Which sets of a family may link with another one: sizes and bitmaps of some pair allow it."""
+    out = np.zeros(len(sizes), bool)
+    widths = np.array([len(b) for b in bitmaps])
+    rows = {w: np.flatnonzero(widths == w) for w in np.unique(widths)}
+    bits = {w: np.frombuffer(b"".join(bitmaps[i] for i in at), np.uint64).reshape(len(at), -1) for w, at in rows.items()}
+    for wide, at in rows.items():
+        for narrow, other in rows.items():
+            if narrow > wide or sizes[other].max() * den < num * sizes[at].min():
+                continue
+            mine = bits[wide]
+            while mine.shape[1] > bits[narrow].shape[1]:  # a coarser bitmap is the exclusive or of the halves
+                mine = mine[:, : mine.shape[1] // 2] ^ mine[:, mine.shape[1] // 2 :]
+            for k, i in enumerate(at.tolist()):
+                small, large = np.minimum(sizes[other], sizes[i]), np.maximum(sizes[other], sizes[i])
+                near = np.flatnonzero((small * den >= num * large) & (other != i))
+                if len(near):
+                    differ = np.bitwise_count(bits[narrow][near] ^ mine[k]).sum(1, dtype=np.int64)
+                    ok = near[differ * (den + num) <= (den - num) * (sizes[i] + sizes[other[near]])]
+                    out[other[ok]] = True
+                    out[i] |= len(ok) > 0
+    return out
+
+
 def signatures(docs: DataFrame, n: int, num: int, den: int, order: Order) -> DataFrame:
     """doc_id, n_shingles, a 128-bit fingerprint of the set, and its prefix, of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
@@ -152,13 +187,14 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, order: Order) -> Dat
             T.StructField("fp2", T.LongType()),
             T.StructField("prefix", T.ArrayType(T.LongType())),
             T.StructField("long_list", T.ArrayType(T.BooleanType())),
+            T.StructField("bitmap", T.BinaryType()),
         ]
     )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, memory = shared.value, _WordHashes()
         for b in batches:
-            sizes, fp1, fp2, prefixes, hot = [], [], [], [], []
+            sizes, fp1, fp2, prefixes, hot, bitmaps = [], [], [], [], [], []
             for t in b.column("text"):
                 words = word_hashes(t.as_py(), memory)
                 hashes, first = np.unique(placed := shingles(words, n), return_index=True)
@@ -169,6 +205,7 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, order: Order) -> Dat
                     fp2.append(None)
                     prefixes.append(np.zeros(0, np.int64))
                     hot.append(np.zeros(0, bool))
+                    bitmaps.append(b"")
                     continue
                 fp1.append(int(hashes.sum(dtype=np.uint64).view(np.int64)))
                 fp2.append(int(np.bitwise_xor.reduce(_mixed(hashes * _MULTIPLIERS[-1])).view(np.int64)))
@@ -176,8 +213,9 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, order: Order) -> Dat
                 chosen = hashes[rank]
                 prefixes.append(chosen.view(np.int64))
                 hot.append(own.long_list[(chosen >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)])
+                bitmaps.append(parity_bitmap(hashes))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.bool_()))],
+                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.bool_())), pa.array(bitmaps, pa.binary())],
                 [f.name for f in out.fields],
             )
 
@@ -278,31 +316,83 @@ def family_links(sets: list[np.ndarray], num: int, den: int, labels: np.ndarray
 
 
 def _lists(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """(leader, member) of every list that holds two or more sets of like size."""
+    """(leader, member, size) of every list that holds two or more sets of like size; a leader is a member too."""
     w = Window.partitionBy("w").orderBy("size", "rep")
     before = F.lag("size").over(w)
     short = entries.where("not hot").withColumn("first", F.when(before.isNull() | (before * den < F.col("size") * num), F.col("rep")))
     short = short.withColumn("leader", F.last("first", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    led = short.where("leader <> rep").select("leader", F.col("rep").alias("member"))
-    hot = entries.where("hot").select("w", "rep")
-    least = hot.groupBy("w").agg(F.min("rep").alias("leader"))
-    also = hot.join(least, "w").where("leader <> rep").select("leader", F.col("rep").alias("member"))
-    return led.unionByName(also).distinct()
-
-
-def _link_groups(rows: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
-    """Join each group of ``rows`` (node, label, set) in memory; groups are bounded by the caller."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node")
-        nodes = pdf["node"].to_numpy()
-        if len(nodes) < 2:
-            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
-        labels = np.unique(pdf["label"].to_numpy(), return_inverse=True)[1]
-        found = family_links([np.frombuffer(x, np.uint64) for x in pdf["shingles"]], num, den, labels)
-        return pd.DataFrame({"a": nodes[[i for i, _ in found]], "b": nodes[[j for _, j in found]]}, dtype="int64")
-
-    return rows.groupBy(*keys).applyInPandas(run, "a long, b long")
+    followed = F.lead("rep").over(w).isNotNull() & F.lead("first").over(w).isNull()
+    led = short.withColumn("followed", followed).where("leader <> rep or followed").select("leader", F.col("rep").alias("member"), "size")
+    hot = entries.where("hot").select("w", "rep", "size")
+    least = hot.groupBy("w").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return led.unionByName(hot.join(least, "w").select("leader", F.col("rep").alias("member"), "size")).distinct()
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Array]]:
+    """The columns of each run of rows that are equal in the first ``keys`` columns; rows come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for b in batches:
+        if not len(b):
+            continue
+        marks = np.zeros(len(b) - 1, bool)
+        for c in b.columns[:keys]:
+            marks |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+        ends = [0, *(np.flatnonzero(marks) + 1).tolist(), len(b)]
+        for lo, hi in zip(ends, ends[1:], strict=False):
+            key = tuple(c[lo].as_py() for c in b.columns[:keys])
+            if held and key != last:
+                yield _joined(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+            last = key
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> list[pa.Array]:
+    return [pa.concat_arrays(list(c)) for c in zip(*(p.columns for p in parts), strict=True)] if len(parts) > 1 else parts[0].columns
+
+
+def _with_partners(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows (leader, member, size, bitmap) of sets that may link with another one of their family, without bitmaps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        for leader, member, size, bitmap in _groups(batches, 1):
+            ok = pa.array(possible_partners(size.to_numpy(), bitmap.to_pylist(), num, den))
+            if ok.true_count:
+                kept.append(pa.RecordBatch.from_arrays([leader, member, size], ["leader", "member", "size"]).filter(ok))
+            if len(kept) >= 1000:
+                yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+                kept = []
+        if kept:
+            yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+
+    dealt = rows.select("leader", "member", "size", "bitmap").repartition("leader").sortWithinPartitions("leader")
+    return dealt.mapInArrow(run, "leader long, member long, size long")
+
+
+def _link_groups(rows: DataFrame, part: str, num: int, den: int) -> DataFrame:
+    """Links inside each group (leader, part) of ``rows`` (node, label, shingles); groups are bounded by the caller."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: list[int] = []
+        b: list[int] = []
+        for _, _, node, label, sets in _groups(batches, 2):
+            nodes, first = np.unique(node.to_numpy(), return_index=True)
+            if len(nodes) > 1:
+                labels = np.unique(label.to_numpy()[first], return_inverse=True)[1]
+                for i, j in family_links([np.frombuffer(sets[k].as_py(), np.uint64) for k in first.tolist()], num, den, labels):
+                    a.append(int(nodes[i]))
+                    b.append(int(nodes[j]))
+            if len(a) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    dealt = rows.select("leader", part, "node", "label", "shingles").repartition("leader", part).sortWithinPartitions("leader", part)
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def jaccard_classes(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, part_sets: int = 4_000, part_shingles: int = 3_000_000) -> tuple[DataFrame, DataFrame]:
@@ -316,28 +406,28 @@ def jaccard_classes(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, pa
     entries = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), F.explode(F.arrays_zip("prefix", "long_list")).alias("e"))
     entries = entries.select(F.col("e.prefix").alias("w"), "rep", "size", F.col("e.long_list").alias("hot"))
     members = stage_table(_lists(entries, num, den), "members")
+    large = F.ceil(F.greatest(F.count("*") / part_sets, F.sum("size") / part_shingles)).cast("int")
+    parts = stage_table(members.groupBy("leader").agg(large.alias("parts")).where("parts > 1"), "parts")
+    held_back = maybe_broadcast(parts)
+    marked = members.join(signed.select(F.col("doc_id").alias("member"), "bitmap"), "member").join(held_back.select("leader"), "leader", "left_anti")
+    families = stage_table(_with_partners(marked, num, den).unionByName(members.join(held_back.select("leader"), "leader", "left_semi").select("leader", "member", "size")), "families")
 
-    # the sets of all that is in some family, from their texts
-    families = members.unionByName(members.select("leader", F.col("leader").alias("member")).distinct())
+    # the sets of all that is left in some family, from their texts
     wanted = stage_table(families.select(F.col("member").alias("doc_id")).distinct(), "wanted")
-    memory_schema = T.StructType([docs.schema["doc_id"], T.StructField("size", T.LongType()), T.StructField("shingles", T.BinaryType())])
+    node = T.StructType([docs.schema["doc_id"], T.StructField("shingles", T.BinaryType())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _WordHashes()
         for b in batches:
-            found = [shingle_set(t.as_py(), n, memory) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(len, found), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "size", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingle_set(t.as_py(), n, memory).tobytes() for t in b.column("text")], pa.binary())], ["doc_id", "shingles"])
 
     texts = docs.select("doc_id", "text").join(maybe_broadcast(wanted, BROADCAST_ROWS), "doc_id", "left_semi")
-    held = stage_table(texts.mapInArrow(sets, memory_schema).select(F.col("doc_id").alias("node"), "size", "shingles"), "sets")
-
-    sized = families.join(held.select(F.col("node").alias("member"), "size"), "member").groupBy("leader").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
-    parts = stage_table(sized.select("leader", F.ceil(F.greatest(F.col("n") / part_sets, F.col("s") / part_shingles)).cast("int").alias("parts")), "parts")
-    cut = families.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
+    held = stage_table(texts.mapInArrow(sets, node).select(F.col("doc_id").alias("node"), "shingles"), "sets")
+    cut = families.join(held_back, "leader", "left").withColumn("part", F.pmod(F.xxhash64("member"), F.coalesce("parts", F.lit(1))).cast("int"))
     rows = cut.join(held, held.node == cut.member).select("leader", "part", "node", F.col("node").alias("label"), "shingles")
-    links = stage_table(_link_groups(rows, ["leader", "part"], num, den), "family_links")
+    links = stage_table(_link_groups(rows, "part", num, den), "family_links")
 
-    if parts.where("parts > 1").limit(1).count():
+    if parts.limit(1).count():
         known = connected_components(links)
         large = cut.where("parts > 1").join(known.withColumnRenamed("node", "member"), "member", "left").withColumn("label", F.coalesce("root", "member")).drop("root")
         # the main component of a family is the one that most of its sets are in
@@ -352,7 +442,7 @@ def jaccard_classes(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, pa
         for_main = F.transform(every("blocks"), lambda j: pair(F.col("part").cast("string"), F.concat(F.lit("m"), j)))
         large = large.withColumn("mine", mine).withColumn("cell", F.explode(F.when(F.col("outside"), F.concat(with_main, with_rest)).otherwise(for_main)))
         more = large.join(held, held.node == large.member).select("leader", "cell", "node", "label", "shingles")
-        links = links.unionByName(stage_table(_link_groups(more, ["leader", "cell"], num, den), "cross_links"))
+        links = links.unionByName(stage_table(_link_groups(more, "cell", num, den), "cross_links"))
     return signed, connected_components(links)
 
 
