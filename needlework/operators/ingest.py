@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from needlework.sources.collections import shuffle_partitions
+
 #: Slots of a node over which symbols are spread by frequency.
 SLOTS = 16
 
@@ -33,12 +35,12 @@ def corpus_stats(corpus: DataFrame) -> DataFrame:
     return one.withColumns({"n_bits": bits("n"), "doc_bits": bits("n_docs")})
 
 
-def doc_offsets(corpus: DataFrame, slices: int = 64) -> DataFrame:
+def doc_offsets(corpus: DataFrame, slices: int | None = None) -> DataFrame:
     """(doc_id, doc_start, doc_end) in the concatenation by id, one separator after each document; ends are exclusive.
 
     Running sums are taken inside slices of the id order and shifted by the sums of the slices before.
     """
-    sized = corpus.select("doc_id", F.char_length("text").cast("long").alias("size")).repartitionByRange(slices, "doc_id").withColumn("slice", F.spark_partition_id())
+    sized = corpus.select("doc_id", F.char_length("text").cast("long").alias("size")).repartitionByRange(slices or shuffle_partitions(corpus), "doc_id").withColumn("slice", F.spark_partition_id())
     within = sized.withColumn("upto", F.sum(F.col("size") + 1).over(Window.partitionBy("slice").orderBy("doc_id")))
     sums = sized.groupBy("slice").agg(F.sum(F.col("size") + 1).alias("s"))
     before = sums.withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")

@@ -23,12 +23,16 @@ def corpus(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.octet_length(text).cast("long").alias("doc_length")).where("text is not null")
 
 
-def numbered(docs: DataFrame, order: str, parts: int = 64) -> DataFrame:
-    """``docs`` with ``doc_no``, the 0-based ordinal by ``order``.
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def numbered(docs: DataFrame, order: str, parts: int | None = None) -> DataFrame:
+    """``docs`` with ``doc_no``, the 0-based ordinal by ``order``, in ``parts`` ranges (as many as shuffles have, if not given).
 
     Ranges of the order are numbered by themselves and shifted by the rows of the ranges before, so no task sorts all rows.
     """
-    ranged = docs.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
+    ranged = docs.repartitionByRange(parts or shuffle_partitions(docs), order).withColumn("_part", F.spark_partition_id())
     ranged = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
