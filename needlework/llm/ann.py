@@ -124,8 +124,25 @@ def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _few_of_each(rows: np.ndarray, row_ids: np.ndarray, most: int) -> np.ndarray:
+    """Of equal vectors the rows of the ``most`` smallest ids, each id once: no answer can hold more of them."""
+    if not len(rows):
+        return np.zeros(0, np.int64)
+    by_id = np.argsort(row_ids, kind="stable")
+    whole = np.ascontiguousarray(rows[by_id]).view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel()
+    of = np.unique(whole, return_inverse=True)[1]
+    order = np.argsort(of, kind="stable")
+    of, ids = of[order], row_ids[by_id][order]
+    again = np.append(False, (of[1:] == of[:-1]) & (ids[1:] == ids[:-1]))
+    order, of = order[~again], of[~again]
+    place = np.arange(len(of)) - np.searchsorted(of, of)
+    return by_id[order[place < most]]
+
+
 def top_pairs(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query_id, vec_id, score) of the k nearest rows of each query, its own row left out, ties to the smaller id."""
+    kept = _few_of_each(rows, row_ids, k + 1)
+    rows, row_ids = rows[kept], row_ids[kept]
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(queries), 256):
         q, ids = queries[at : at + 256], query_ids[at : at + 256]
@@ -171,10 +188,13 @@ class AnnIndex:
 
 
 def build_index(vectors: DataFrame, k: int = 20, target: float = 0.97, leaf_rows: int = 200, sample_rows: int = 40_000, calibration: int = 128) -> AnnIndex | None:
-    """Fit, fill and calibrate. ``sample_rows`` and ``calibration`` bound what the driver sees; all rows are indexed."""
+    """Fit, fill and calibrate. ``sample_rows`` (of 64 components; fewer longer ones) and ``calibration`` bound what the
+    driver sees; all rows are indexed.
+    """
     usable_rows, dim = usable(vectors)
     if not dim:
         return None
+    sample_rows = max(1_000, min(sample_rows, 64 * sample_rows // dim))
     spark = vectors.sparkSession
     shape = usable_rows.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("top")).first()
     by_hash = lambda bound: usable_rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, bound / shape.n))).orderBy("vec_id").limit(2 * bound)
@@ -246,7 +266,6 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, index: AnnIndex |
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        left = left.drop_duplicates(["vec_id", "v"])
         x = np.frombuffer(b"".join(left["v"])).reshape(-1, dim)
         q = np.frombuffer(b"".join(right["q"])).reshape(-1, dim)
         a, b, s = top_pairs(q, right["query_id"].to_numpy(), x, left["vec_id"].to_numpy(), k)
