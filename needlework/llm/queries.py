@@ -22,7 +22,7 @@ from .toxicity import fit_toxicity, toxicity_scores
 
 
 def _predicted(scores: DataFrame, threshold: float) -> DataFrame:
-    return scores.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scores.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
