@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from needlework.functions import text as fn
 from needlework.operators import ingest, lists, occurrence, phrases, topk
+from needlework.plans.index import TopkIndex
 from needlework.sources import collections as src
+from needlework.sources.shared import shared_folder
+from needlework.streaming import append
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -201,6 +204,23 @@ def topk_routed(spark, d):
     return _longs(lists.routed_topk(_docs(spark, d), _patterns(spark, LISTED), _lists(spark, d), 500), "rank")
 
 
+def topk_after_reload(spark, d):
+    """Build, save and load an index, and answer from it: stored lists first, search for the rest."""
+    path = shared_folder(spark, "index")
+    TopkIndex.build(_docs(spark, d), g=G, gram=GRAM).save(path)
+    return _longs(TopkIndex.load(spark, path).topk_batch(_patterns(spark, LISTED), 500), "rank")
+
+
+def topk_streamed(spark, d):
+    """The documents arrive as a stream; the ranking over all that came is the batch answer."""
+    patterns, path = _patterns(spark, BATCH), shared_folder(spark, "frequencies")
+    schema = src.table(spark, d, "documents").schema
+    # file streams read folders and patterns of names
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{d}/documents.parque[t]")
+    append.watch(stream, patterns, path, shared_folder(spark, "progress")).awaitTermination()
+    return _longs(append.standing(spark, patterns, path, 10), "rank")
+
+
 # -- phrases
 
 
@@ -294,6 +314,7 @@ _QUERIES: list[Query] = [
     patterns_max_one_space, sample_patterns, symbol_histogram, alphabet_size, symbol_priority, corpus_stats, index_meta, count_occurrences,
     tf_per_document, document_frequency, document_listing, pattern_exists, locate_positions, position_to_document, topk_documents, topk_batch,
     topk_batch_automaton, topk_tiebreak_length, frequent_phrases, kstar_budget, build_topk_lists, topk_from_lists, topk_cache_misses, topk_routed,
+    topk_after_reload, topk_streamed,
     lz78_phrases, lz78_parse_stats, phrase_preorder, phrase_trie_listing, phrase_doc_array, phrase_lookup_exact, phrases_ending_with,
     reverse_phrases, adjacent_phrases, next_phrase, subtree_size, fictitious_nodes, pattern_phrase_factors, range_report, range_exists_semi,
     phrase_to_document, occ_type1, occ_type2, occ_type3, occ_all_types, occurrence_types,
@@ -396,6 +417,8 @@ def oracle_sql() -> dict[str, str]:
         "topk_from_lists": f"WITH {_GRAMS}, {_LISTED}, h AS ({_HITS}) SELECT q.pattern_id, l.rank, l.doc_id, l.tf, l.doc_length FROM q JOIN h USING (pattern_id) JOIN l USING (pattern) WHERE l.rank <= q.k",
         "topk_cache_misses": f"WITH {_GRAMS}, {_LISTED} SELECT * FROM q WHERE pattern_id NOT IN ({_HITS})",
         "topk_routed": f"WITH {_CHARS}, {_ranked(LISTED)} SELECT pattern_id, rank, doc_id, tf, doc_length FROM r WHERE rank <= k",
+        "topk_after_reload": f"WITH {_CHARS}, {_ranked(LISTED)} SELECT pattern_id, rank, doc_id, tf, doc_length FROM r WHERE rank <= k",
+        "topk_streamed": f"WITH {_CHARS}, {_ranked(BATCH)} SELECT pattern_id, rank, doc_id, tf, doc_length FROM r WHERE rank <= k",
         "lz78_parse_stats": "SELECT doc_id, (length(text) + 1)::BIGINT AS n_symbols FROM documents",
         "occ_all_types": f"WITH {_CHARS} SELECT doc_id, tf FROM ({_tf(CROSSING)}) WHERE tf > 0",
     }
