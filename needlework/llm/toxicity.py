@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -38,7 +39,10 @@ HOMOGLYPHS = str.maketrans(
 SUBSTITUTES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 
 _OBFUSCATED = re.compile(r"[^\W\d_](?:[013457@$]+[^\W\d_]+)+|(?<!\S)[1450@$]+[^\W\d_]+(?:[013457@$]+[^\W\d_]+)*")
-_OTHER_SCRIPT = re.compile("[Ͱ-ԯԱ-֏ɐ-ʯⅠ-ↈ]")
+_OTHER_SCRIPT = re.compile("[\u0250-\u02af\u0370-\u052f\u0531-\u058f]")
+#: Full-width, mathematical and circled letters, and characters without width.
+_STYLED = re.compile("[\u2100-\u214f\u2460-\u24ff\uff00-\uffef\U0001d400-\U0001d7ff\u200b-\u200f\u2060\ufeff\u00ad]")
+_NO_WIDTH = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
 _GAPS = re.compile(r"[^\w]+|_+")
 
 #: Phrases in which a lexicon word is harmless, before any are learnt.
@@ -49,6 +53,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 
 def fold(text: str) -> str:
     """Lower case, look-alikes resolved, words apart by single spaces, a space at both ends."""
+    if not text.isascii() and _STYLED.search(text):
+        text = unicodedata.normalize("NFKC", _NO_WIDTH.sub("", text))
     low = text.lower()
     if not low.isascii() and _OTHER_SCRIPT.search(low):
         low = low.translate(HOMOGLYPHS)

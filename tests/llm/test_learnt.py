@@ -42,6 +42,7 @@ def test_sample_leaves_the_held_out_fifth(spark):
 def test_folding():
     assert toxicity.fold("Ѕсum 1d10t!! m0r0n's") == " scum idiot moron s "
     assert toxicity.fold("") == "  "
+    assert toxicity.fold("ｉｄｉｏｔ mo\u200bron 𝐬𝐜𝐮𝐦 été") == " idiot moron scum été "
     assert toxicity.fold("in 2024 10 a@b") == " in 2024 10 aab "
 
 
