@@ -47,6 +47,18 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``classes``, a staged table of one row for each key and the number of rows that have it.
+
+    Keys of very many rows are few (at most 100,000, since each has over a 100,000th of ``total``), so they are sent to all
+    tasks; the others are no hot keys and are shuffled.
+    """
+    many = max(500, total // 100_000)
+    large = F.broadcast(classes.where(F.col(size) > many).drop(size))
+    small = rows.join(large.select(*keys), keys, "left_anti").join(classes.where(F.col(size) <= many).drop(size), keys, how)
+    return rows.join(large, keys).unionByName(small)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
     """(doc_id, text, y) of labelled rows that may be learnt from, at most about ``bound`` of them.
 

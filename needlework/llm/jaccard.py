@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, maybe_broadcast, stage_table
+from .common import BROADCAST_ROWS, join_classes, maybe_broadcast, stage_table
 from .components import connected_components
 
 SKETCH_BITS = 18
@@ -452,9 +452,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10,
     ``part_sets`` and ``part_shingles`` bound what one task holds of a family.
     """
     signed, found = jaccard_classes(docs, n, num, den, part_sets, part_shingles)
-    classes = signed.where("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    classes = classes.join(found, classes.rep == found.node, "left").select("fp1", "fp2", F.coalesce("root", "rep").alias("class_id"))
-    return signed.join(classes, ["fp1", "fp2"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("component_id"))
+    keys = ["fp1", "fp2"]
+    full, empty = signed.where("n_shingles > 0").drop("prefix", "long_list", "bitmap"), signed.where("n_shingles = 0")
+    classes = full.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    classes = stage_table(classes.join(found, classes.rep == found.node, "left").select(*keys, "n", F.coalesce("root", "rep").alias("class_id")), "classes")
+    mapped = join_classes(full, classes, keys, "n", signed.count(), "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("component_id"))
+    return mapped.unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
