@@ -62,10 +62,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     versions = {name: (vocabulary_path(f"{name}.tiktoken"), public_tokenizers.PATTERN) for name in ("byte_bpe_50k", "byte_bpe_multi_50k")}
-    ledger = TokenLedger(spark)
+    ledger, counts, copies = TokenLedger(spark), count_tokens(docs, versions), surplus_copies(docs)
     for _ in range(2):  # the second round finds both ids committed and changes nothing
-        ledger.insert("all", count_tokens(docs, versions))
-        ledger.delete("copies", surplus_copies(docs))
+        ledger.insert("all", counts)
+        ledger.delete("copies", copies)
     return ledger.totals()
 
 

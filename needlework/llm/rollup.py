@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir
+from .common import join_classes, shared_dir, stage_table
 from .tokens import BytePairs
 
 GROUP = ("source", "lang", "tokenizer")
@@ -112,5 +112,6 @@ class TokenLedger:
 def surplus_copies(docs: DataFrame) -> DataFrame:
     """doc_id of every document whose text another document with a smaller id has too."""
     known = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("m"), F.xxhash64("text").alias("h"))
-    first = known.groupBy("m", "h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return known.join(first, ["m", "h"]).where("doc_id > first").select("doc_id").distinct()
+    known = stage_table(known, "text_hashes")
+    first = stage_table(known.groupBy("m", "h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copied")
+    return join_classes(known, first, ["m", "h"], "n", known.count()).where("doc_id > first").select("doc_id").distinct()
