@@ -34,7 +34,7 @@ from .tokens import WordBpe
 
 CAPACITY = 4096
 
-#: Rows of one rank group at most, about.
+#: Rows of one rank group at most, about, in large inputs; smaller ones have groups of a 512th of their rows, 500 at least.
 GROUP_ROWS = 20_000
 
 
@@ -206,14 +206,14 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, solves: in
     return Packing(*columns, sequence)
 
 
-def ranked(pieces: DataFrame, histogram: dict[int, int], group_rows: int = GROUP_ROWS) -> DataFrame:
+def ranked(pieces: DataFrame, histogram: dict[int, int], group_rows: int | None = None) -> DataFrame:
     """``pieces`` (staged) with ``rank``: gapless from 0 among equal lengths, without a group of more than about ``group_rows``.
 
     Frequent lengths are dealt into groups by a hash, and the groups' exact counts turn ranks inside a group into ranks
-    among all. There are at most ``capacity`` + 100,000 groups; beyond 100,000 times ``group_rows`` pieces groups grow.
+    among all. There are at most ``capacity`` + 100,000 groups; beyond 100,000 times ``GROUP_ROWS`` pieces groups grow.
     """
-    spark = pieces.sparkSession
-    group_rows = max(group_rows, sum(histogram.values()) // 100_000)
+    spark, total = pieces.sparkSession, sum(histogram.values())
+    group_rows = max(group_rows or min(GROUP_ROWS, max(500, total // 512)), total // 100_000)
     groups = spark.createDataFrame([(n, -(-k // group_rows)) for n, k in histogram.items()], "length long, groups long")
     salted = pieces.join(F.broadcast(groups), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "groups")).drop("groups")
     starts = []
