@@ -6,7 +6,8 @@ every row is put into a leaf. A query walks the tree through a priority queue of
 that order. How many leaves, is calibrated: for a bounded set of queries the true neighbours are found by brute force over
 all rows, and visits widen until the wanted share of them lies in the visited leaves (all leaves, if need be).
 
-Rows and queries meet by leaf. Large leaves are cut into parts, and so are the queries of much visited leaves, so a vector
+Rows and queries meet by bins of neighbouring leaves. A query's first leaves give the score that rows of its further leaves
+have to reach, and a bin gives the k nearest rows of all its visited leaves together. Large leaves are cut into parts, and so are the queries of much visited bins, so a vector
 that a third of all rows share is no hot key. Scores are sums in double precision over the original components, in order.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another
@@ -33,6 +34,9 @@ from .common import stage_table
 
 PART_ROWS = 4_096
 
+#: A query's first leaves give the score that rows of its other leaves have to reach.
+FIRST_LEAVES = 3
+
 
 @dataclass
 class Tree:
@@ -139,17 +143,21 @@ def _few_of_each(rows: np.ndarray, row_ids: np.ndarray, most: int) -> np.ndarray
     return by_id[order[place < most]]
 
 
-def top_pairs(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of the k nearest rows of each query, its own row left out, ties to the smaller id."""
+def top_pairs(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, score) of the k nearest rows of each query, its own row left out, ties to the smaller id.
+
+    ``bounds`` are scores below which a query has no use for a row.
+    """
     kept = _few_of_each(rows, row_ids, k + 1)
     rows, row_ids = rows[kept], row_ids[kept]
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(queries), 256):
         q, ids = queries[at : at + 256], query_ids[at : at + 256]
+        low = np.full(len(q), -np.inf) if bounds is None else bounds[at : at + 256]
         near = q @ rows.T
         near[ids[:, None] == row_ids[None, :]] = -np.inf
         if len(rows) > k:
-            least = np.partition(near, -k, axis=1)[:, -k]
+            least = np.maximum(np.partition(near, -k, axis=1)[:, -k], low)
             # the matrix product may differ in its last digits from the sum in order
             i, j = np.nonzero(near >= (least - 1e-9 * (1 + np.abs(least)))[:, None])
         else:
@@ -157,6 +165,8 @@ def top_pairs(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_
         ok = near[i, j] > -np.inf
         i, j = i[ok], j[ok]
         score = exact_scores(q[i], rows[j])
+        ok = score >= low[i]
+        i, j, score = i[ok], j[ok], score[ok]
         order = np.lexsort((row_ids[j], -score, i))
         i, j, score = i[order], j[order], score[order]
         first = np.searchsorted(i, np.arange(len(q)))
@@ -187,7 +197,7 @@ class AnnIndex:
     dim: int
 
 
-def build_index(vectors: DataFrame, k: int = 20, target: float = 0.97, leaf_rows: int = 200, sample_rows: int = 40_000, calibration: int = 128) -> AnnIndex | None:
+def build_index(vectors: DataFrame, k: int = 20, target: float = 0.97, leaf_rows: int = 500, sample_rows: int = 40_000, calibration: int = 128) -> AnnIndex | None:
     """Fit, fill and calibrate. ``sample_rows`` (of 64 components; fewer longer ones) and ``calibration`` bound what the
     driver sees; all rows are indexed.
     """
@@ -240,39 +250,84 @@ def build_index(vectors: DataFrame, k: int = 20, target: float = 0.97, leaf_rows
     return AnnIndex(tree, max(1, visits), float(recall[max(1, visits)]), rows, dim)
 
 
+def _bins(index: AnnIndex) -> dict[int, tuple[int, int]]:
+    """leaf -> (bin, parts): neighbouring leaves share a bin of about ``PART_ROWS`` rows, a larger leaf is a bin of several parts."""
+    counts = sorted((r.leaf, r["count"]) for r in index.rows.groupBy("leaf").count().collect())  # a row a leaf, bounded by the sample
+    out: dict[int, tuple[int, int]] = {}
+    number, held = 0, 0
+    for leaf, n in counts:
+        if held and held + n > PART_ROWS:
+            number, held = number + 1, 0
+        out[leaf] = (number, max(1, -(-n // PART_ROWS)))
+        held += n
+    return out
+
+
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, index: AnnIndex | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest rows found for each row whose vec_id is divisible by ``every``."""
     spark = vectors.sparkSession
     index = index or build_index(vectors, k)
-    out = "query_id long, rank int, vec_id long, score double"
     if index is None:
-        return spark.createDataFrame([], out)
-    shared, dim, visits = spark.sparkContext.broadcast(index.tree), index.dim, index.visits
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    bins = _bins(index)
+    shared, visits = spark.sparkContext.broadcast((index.tree, bins)), index.visits
+    kinds = {"query_id": pa.int64(), "q": pa.binary(), "first": pa.bool_(), "bin": pa.int32(), "leaves": pa.list_(pa.int32())}
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, where = shared.value
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], list(kinds))
         for b in batches:
-            found = [shared.value.visits(np.frombuffer(v), visits) for v in b.column("v").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(found, pa.list_(pa.int32()))], ["query_id", "q", "leaves"])
+            out: list[tuple] = []
+            for query_id, v in zip(b.column("vec_id").to_pylist(), b.column("v").to_pylist(), strict=True):
+                met: dict[tuple[bool, int], list[int]] = {}
+                for i, leaf in enumerate(tree.visits(np.frombuffer(v), visits)):
+                    if leaf in where:
+                        met.setdefault((i < FIRST_LEAVES, where[leaf][0]), []).append(leaf)
+                out += [(query_id, v, first, number, leaves) for (first, number), leaves in met.items()]
+                if len(out) > 10_000:
+                    yield batch(out)
+                    out = []
+            yield batch(out)
 
     asked = index.rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v").dropDuplicates(["vec_id"])
-    walks = stage_table(asked.mapInArrow(walk, "query_id long, q binary, leaves array<int>"), "walks").withColumn("leaf", F.explode("leaves")).drop("leaves")
-    # a row for each leaf: into how many parts its rows and its queries go
-    sizes = index.rows.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("parts"))
-    loads = walks.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("lots"))
-    plan = F.broadcast(stage_table(sizes.join(loads, "leaf"), "leaf_plan"))  # as many rows as the tree has leaves, bounded by the sample
-    rows = index.rows.join(plan, "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
-    queries = walks.join(plan, "leaf").withColumn("lot", F.pmod(F.xxhash64("query_id"), F.col("lots")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    walks = stage_table(asked.mapInArrow(walk, "query_id long, q binary, first boolean, bin int, leaves array<int>"), "walks")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = lambda pairs: pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    near = stage_table(best(_meetings(index, bins, walks.where("first").withColumn("bound", F.lit(-math.inf)), k)), "near")
+    bounds = near.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(F.lit(-math.inf)).alias("bound"))
+    rest = walks.where("not first").join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(-math.inf)))
+    found = near.drop("rank").unionByName(_meetings(index, bins, rest, k))
+    return best(found).select("query_id", "rank", "vec_id", "score")
+
+
+def _meetings(index: AnnIndex, bins: dict[int, tuple[int, int]], walks: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of the k nearest rows of each bin that reach the bound, for ``walks`` (query_id, q, bin, leaves, bound)."""
+    spark, dim = walks.sparkSession, index.dim
+    plan = spark.createDataFrame([(leaf, b, parts) for leaf, (b, parts) in bins.items()], "leaf int, bin int, parts int")
+    parts = {b: p for b, p in bins.values()}
+    lots = {r.bin: -(-r["count"] // PART_ROWS) for r in walks.groupBy("bin").count().collect()}  # a row a bin
+    deal = F.broadcast(spark.createDataFrame([(b, parts[b], n) for b, n in lots.items()], "bin int, parts int, lots int"))
+    rows = index.rows.join(F.broadcast(plan.select("leaf", "bin")), "leaf").join(deal, "bin").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    queries = walks.join(deal, "bin").withColumn("lot", F.pmod(F.xxhash64("query_id"), F.col("lots")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        x = np.frombuffer(b"".join(left["v"])).reshape(-1, dim)
-        q = np.frombuffer(b"".join(right["q"])).reshape(-1, dim)
-        a, b, s = top_pairs(q, right["query_id"].to_numpy(), x, left["vec_id"].to_numpy(), k)
-        return pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
-
-    keys = ["leaf", "part", "lot"]
-    pairs = rows.select(*keys, "vec_id", "v").groupBy(*keys).cogroup(queries.select(*keys, "query_id", "q").groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
-    best = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        a, b, s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if len(left) and len(right):
+            x, ids, leaf = np.frombuffer(b"".join(left["v"])).reshape(-1, dim), left["vec_id"].to_numpy(), left["leaf"].to_numpy()
+            q, asked, bound = np.frombuffer(b"".join(right["q"])).reshape(-1, dim), right["query_id"].to_numpy(), right["bound"].to_numpy()
+            wanted = np.concatenate([np.asarray(leaves) for leaves in right["leaves"]])
+            asker = np.repeat(np.arange(len(right)), [len(leaves) for leaves in right["leaves"]])
+            for one in np.unique(wanted):
+                at, own = asker[wanted == one], leaf == one
+                if own.any():
+                    for c, v in zip((a, b, s), top_pairs(q[at], asked[at], x[own], ids[own], k, bound[at]), strict=True):
+                        c.append(v)
+        a, b, s = np.concatenate(a), np.concatenate(b), np.concatenate(s)
+        order = np.lexsort((b, -s, a))
+        a, b, s = a[order], b[order], s[order]
+        keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+        return pd.DataFrame({"query_id": a[keep], "vec_id": b[keep], "score": s[keep]})
+
+    keys = ["bin", "part", "lot"]
+    rows, queries = rows.select(*keys, "leaf", "vec_id", "v"), queries.select(*keys, "query_id", "q", "leaves", "bound")
+    return rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
