@@ -1,6 +1,6 @@
 """License scans: a trained paragraph classifier names licence families, template comparison confirms them.
 
-Features are hashed-free word uni-, bi- and trigrams of a paragraph, only those that the trained model knows. A multinomial
+Features are word uni-, bi- and trigrams of a paragraph, only those that the trained model knows. A multinomial
 logistic regression tells families apart, with a class for everything else that is trained on negative phrases and on
 paragraphs of the corpus (a bounded sample), and its probabilities are calibrated by a temperature on rows kept from
 training. A prediction counts if its probability reaches ``threshold`` and the paragraph holds enough of the word pairs of
@@ -183,7 +183,11 @@ def _softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 400, r
 
 def corpus_negatives(docs: DataFrame, bound: int) -> list[str]:
     """At most ``bound`` paragraphs without licence words, for training: from as many documents, chosen by a hash."""
-    chosen = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, 4000).alias("head")).orderBy("h").limit(bound)
+    h = F.xxhash64("doc_id")
+    least = docs.select(h.alias("h")).orderBy("h").limit(bound).agg(F.max("h")).first()[0]
+    if least is None:
+        return []
+    chosen = docs.where((h <= least) & F.col("text").isNotNull()).select(h.alias("h"), F.substring("text", 1, 4000).alias("head"))
     lines = chosen.select("h", F.explode(F.split("head", "\n")).alias("line"))
     plain = lines.where(~F.lower("line").rlike("licen|rights reserved|public domain|copyright|spdx|permission|redistribut") & (F.length("line") > 20))
     return [r.line for r in plain.orderBy("h", "line").limit(bound).select(F.substring("line", 1, 300).alias("line")).collect()]
