@@ -85,7 +85,7 @@ def test_random_patterns(spark, random_texts):
 def test_stored_lists_answer_as_search_does(spark, random_texts):
     own = docs(spark, random_texts).cache()
     stored = lists.build_gram_lists(own, 2, 3, len(random_texts)).cache()
-    grams = sorted({t[i : i + 2] for t in random_texts for i in range(len(t) - 1)})[:25]
+    grams = [*sorted({t[i : i + 2] for t in random_texts for i in range(len(t) - 1)})[:25], "zz", "q"]
     rows = [(i, p, 1 + i % 12) for i, p in enumerate(grams)]
     table = spark.createDataFrame(rows, "pattern_id long, pattern string, k int")
     found = lists.routed_topk(own, table, stored, 12)
