@@ -143,7 +143,7 @@ def _unit_counts(sample: DataFrame) -> DataFrame:
                 if t := t.as_py():
                     own = set(tokens(t))
                     found.update({x.lower() for x in own} | {shape(x) for x in own})
-                    if len(found) > 400_000:
+                    if len(found) > 150_000:
                         yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["u", "n"])
                         found.clear()
         yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["u", "n"])

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+from functools import cached_property
 
 import numpy as np
 import tiktoken
@@ -33,12 +34,18 @@ class WordBpe:
     """Ids of a word-end BPE vocabulary file of the ``tokenizers`` library."""
 
     def __init__(self, path: str):
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.fast, self.ids = self._compile(model) if model.get("end_of_word_suffix") == "</w>" else (None, None)
 
+    @cached_property
+    def slow(self) -> Tokenizer:
+        """The library's own encoder, loaded when a text needs it."""
+        own = Tokenizer.from_file(self.path)
+        own.encode_special_tokens = True  # their strings in a text are ordinary text
+        return own
+
     @staticmethod
     def _compile(model: dict) -> tuple[tiktoken.Encoding | None, np.ndarray | None]:
         letters, vocab = _byte_letters(), model["vocab"]

@@ -155,7 +155,7 @@ def _counted(sample: DataFrame, y: int, known: frozenset[str] | None, pairs: fro
                         words = folded.split()
                         own = {f"{u} {v}" for u, v in zip(words, words[1:], strict=False) if u in pairs or v in pairs}
                     found.update(own if known is None else own & known)
-                    if len(found) > 400_000:  # partial counts add up later
+                    if len(found) > 150_000:  # partial counts add up later
                         yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["f", "n"])
                         found.clear()
         yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["f", "n"])
