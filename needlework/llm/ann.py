@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage_table
+from .common import returns_memory, stage_table
 
 PART_ROWS = 4_096
 
@@ -214,6 +214,7 @@ def build_index(vectors: DataFrame, k: int = 20, target: float = 0.97, leaf_rows
     tree = fit_tree(sample, shape.top, max(4, leaf_rows * len(sample) // shape.n))
     shared = spark.sparkContext.broadcast(tree)
 
+    @returns_memory
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.ascontiguousarray(_matrix(b.column("v"), dim))
@@ -227,6 +228,7 @@ def build_index(vectors: DataFrame, k: int = 20, target: float = 0.97, leaf_rows
         tests = usable_rows.orderBy("vec_id").limit(1).toPandas()
     asked = spark.sparkContext.broadcast((np.stack(tests["v"].to_numpy()).astype(float), tests["vec_id"].to_numpy()))
 
+    @returns_memory
     def truth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, ids = asked.value
         for b in batches:
@@ -273,6 +275,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, index: AnnIndex |
     shared, visits = spark.sparkContext.broadcast((index.tree, bins)), index.visits
     kinds = {"query_id": pa.int64(), "q": pa.binary(), "first": pa.bool_(), "bin": pa.int32(), "leaves": pa.list_(pa.int32())}
 
+    @returns_memory
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, where = shared.value
         batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], list(kinds))

@@ -2,18 +2,51 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest number of narrow rows (an id or a hash each) that is ever broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
+#: Rows of one Arrow batch at most: texts are long, and a batch of them is held several times between JVM and Python.
+ARROW_ROWS = 1_000
+_ARROW_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _own_dir: str | None = None
 
 
+def returns_memory(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that hands freed memory back when its task ends: idle Python workers live on beside the JVM."""
+
+    @wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        yield from task(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return run
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering the session's Arrow batch size to what long texts allow; a lower setting stays."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_ARROW_KEY)) <= ARROW_ROWS:
+        conf.set(_ARROW_KEY, str(ARROW_ROWS))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
     global _own_dir
@@ -77,4 +110,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
         # a hash threshold keeps the fraction without a global sort
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * bound / total))
     known = stage_table(known, "labelled")
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    return text_batches(docs).select("doc_id", "text").join(F.broadcast(known), "doc_id")

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, join_classes, maybe_broadcast, stage_table
+from .common import BROADCAST_ROWS, join_classes, maybe_broadcast, returns_memory, stage_table, text_batches
 from .components import connected_components
 
 SKETCH_BITS = 18
@@ -113,6 +113,7 @@ class Order:
 def corpus_order(docs: DataFrame, n: int) -> Order:
     """Count all words and shingles of all documents into two tables of fixed size."""
 
+    @returns_memory
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, cells = _WordHashes(), np.zeros(2 * CELLS, np.int64)
         shift = np.uint64(64 - SKETCH_BITS)
@@ -130,7 +131,7 @@ def corpus_order(docs: DataFrame, n: int) -> Order:
         at = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(cells[at])], ["cell", "n"])
 
-    summed = docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    summed = text_batches(docs).select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     found = summed.toPandas()  # 2 * CELLS rows at most
     cells = np.zeros(2 * CELLS, np.float64)
     cells[found["cell"].to_numpy()] = found["n"].to_numpy()
@@ -191,6 +192,7 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, order: Order) -> Dat
         ]
     )
 
+    @returns_memory
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, memory = shared.value, _WordHashes()
         for b in batches:
@@ -219,7 +221,7 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, order: Order) -> Dat
                 [f.name for f in out.fields],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, out)
+    return text_batches(docs).select("doc_id", "text").mapInArrow(sign, out)
 
 
 class _Components:
@@ -357,6 +359,7 @@ def _joined(parts: list[pa.RecordBatch]) -> list[pa.Array]:
 def _with_partners(rows: DataFrame, num: int, den: int) -> DataFrame:
     """The rows (leader, member, size, bitmap) of sets that may link with another one of their family, without bitmaps."""
 
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
         for leader, member, size, bitmap in _groups(batches, 1):
@@ -376,6 +379,7 @@ def _with_partners(rows: DataFrame, num: int, den: int) -> DataFrame:
 def _link_groups(rows: DataFrame, part: str, num: int, den: int) -> DataFrame:
     """Links inside each group (leader, part) of ``rows`` (node, label, shingles); groups are bounded by the caller."""
 
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[int] = []
         b: list[int] = []
@@ -416,6 +420,7 @@ def jaccard_classes(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, pa
     wanted = stage_table(families.select(F.col("member").alias("doc_id")).distinct(), "wanted")
     node = T.StructType([docs.schema["doc_id"], T.StructField("shingles", T.BinaryType())])
 
+    @returns_memory
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _WordHashes()
         for b in batches:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import returns_memory, text_batches
 from .quality import fit_temperature
 
 UNKNOWN = "unknown"
@@ -238,6 +239,7 @@ def license_scan(docs: DataFrame, model: LicenseModel, threshold: float = 0.6, s
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = T.StructType([docs.schema["doc_id"], T.StructField("n_licensed", T.LongType()), T.StructField("families", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("probability", T.DoubleType())])
 
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
@@ -253,4 +255,4 @@ def license_scan(docs: DataFrame, model: LicenseModel, threshold: float = 0.6, s
                 [f.name for f in out.fields],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, out)
+    return text_batches(docs).select("doc_id", "text").mapInArrow(run, out)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import stage_table
+from .common import returns_memory, stage_table, text_batches
 from .tokens import WordBpe
 
 CAPACITY = 4096
@@ -43,6 +43,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     fields = [docs.schema["doc_id"], *[T.StructField(c, T.LongType() if c != "piece" else T.IntegerType()) for c in ("piece", "start", "length", "ids_crc32")]]
     fields += [T.StructField("ids", T.ArrayType(T.LongType()))] * with_ids
 
+    @returns_memory
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe(tokenizer_path)
         for b in batches:
@@ -62,7 +63,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             columns += [pa.array(kept, pa.list_(pa.int64()))] * with_ids
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, T.StructType(fields))
+    return text_batches(docs).select("doc_id", "text").mapInArrow(cut, T.StructType(fields))
 
 
 def price(lengths: np.ndarray, gains: np.ndarray, counts: np.ndarray, capacity: int) -> dict[int, int]:
@@ -238,6 +239,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     out = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     names = pieces.columns
 
+    @returns_memory
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sequence, offset = shared.value.place(b.column("length").to_numpy(), b.column("rank").to_numpy())

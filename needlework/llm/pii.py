@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import returns_memory, text_batches
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn", "secret")
 _RANK = {k: i for i, k in enumerate(KINDS)}
@@ -150,12 +152,13 @@ def pii_spans(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     out = T.StructType([docs.schema["doc_id"], T.StructField("spans", SPAN_SCHEMA)])
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("score", pa.float64())]))
 
+    @returns_memory
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spans = [[x._asdict() for x in find_spans(t.as_py(), threshold)] for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, arrow)], ["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, out)
+    return text_batches(docs).select("doc_id", "text").mapInArrow(scan, out)
 
 
 def pii_redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -165,7 +168,7 @@ def pii_redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     def clean(text):
         return text.map(lambda t: redact(t, find_spans(t, threshold)) if t is not None else None)
 
-    out = docs.withColumn("text", clean("text"))
+    out = text_batches(docs).withColumn("text", clean("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return out

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled_sample, stage_table
+from .common import labelled_sample, returns_memory, stage_table, text_batches
 
 DIM, NONZERO, WINDOW = 96, 6, 2
 
@@ -136,6 +136,7 @@ def fit_temperature(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def _unit_counts(sample: DataFrame) -> DataFrame:
+    @returns_memory
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
         for b in batches:
@@ -156,6 +157,7 @@ def _context_sums(sample: DataFrame, units: dict[str, int]) -> np.ndarray:
     index = np.stack([index_vector(u) for u in units]) if units else np.zeros((0, DIM), np.float32)
     shared = sample.sparkSession.sparkContext.broadcast((units, index))
 
+    @returns_memory
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, vec = shared.value
         out, size = np.zeros((len(known), DIM), np.float64), 0
@@ -197,6 +199,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = 12_000, vocabul
     vectors = vectors + own / math.sqrt(NONZERO)  # a unit's own index vector keeps units with like neighbours apart
     shared = sample.sparkSession.sparkContext.broadcast((units, vectors))
 
+    @returns_memory
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [pool(t.as_py(), *shared.value).astype(np.float32) for t in b.column("text")]
@@ -221,6 +224,7 @@ def quality_scores(docs: DataFrame, model: QualityModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
 
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
@@ -229,4 +233,4 @@ def quality_scores(docs: DataFrame, model: QualityModel) -> DataFrame:
                 x = np.stack([own.pool(t.as_py()) for t in part.column("text")]).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own.scores(x), pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, out)
+    return text_batches(docs).select("doc_id", "text").mapInArrow(run, out)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_classes, shared_dir, stage_table
+from .common import join_classes, returns_memory, shared_dir, stage_table, text_batches
 from .tokens import BytePairs
 
 GROUP = ("source", "lang", "tokenizer")
@@ -34,6 +34,7 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, tuple[str, str]]) -> Dat
     """One row per document and tokenizer version: its tokens and characters. ``tokenizers``: version -> (rank file, pattern)."""
     out = T.StructType([T.StructField(c, T.LongType() if c in ("doc_id", "docs", "tokens", "chars") else T.StringType()) for c in ("doc_id", *GROUP, "docs", "tokens", "chars")])
 
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = {version: BytePairs(*where) for version, where in tokenizers.items()}
         for b in batches:
@@ -43,7 +44,7 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, tuple[str, str]]) -> Dat
                 tokens = pa.array([counter.count(t) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("lang"), pa.array([version] * len(b), pa.string()), pa.array([1] * len(b), pa.int64()), tokens, chars], [f.name for f in out.fields])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, out)
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, out)
 
 
 class TokenLedger:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled_sample, stage_table
+from .common import labelled_sample, returns_memory, stage_table, text_batches
 
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 HOMOGLYPHS = str.maketrans(
@@ -144,6 +144,7 @@ def _g2(a: float, n: float, b: float, m: float) -> float:
 def _counted(sample: DataFrame, y: int, known: frozenset[str] | None, pairs: frozenset[str] | None = None) -> DataFrame:
     """Documents of class ``y`` that hold each feature; only ``known`` ones, and word pairs around ``pairs``, if given."""
 
+    @returns_memory
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
         for b in batches:
@@ -196,6 +197,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 20_000, lexico
         exceptions = (*exceptions, *(f for f, b in sorted(around.items()) if b / m > 4 * (also.get(f, 0) + 0.5) / n))
     model = ToxicityModel(chosen, tuple(dict.fromkeys(exceptions)))
 
+    @returns_memory
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [model.inputs(t.as_py()) for t in b.column("text")]
@@ -211,12 +213,13 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
 
+    @returns_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([own.score(t.as_py()) for t in b.column("text")], pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, out)
+    return text_batches(docs).select("doc_id", "text").mapInArrow(run, out)
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
@@ -228,4 +231,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) ->
         own = shared.value
         return text.map(lambda t: own.score(t if isinstance(t, str) else None))
 
-    return docs.where(score("text") < threshold)
+    return text_batches(docs).where(score("text") < threshold)
