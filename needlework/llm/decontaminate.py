@@ -4,7 +4,9 @@ Texts become tokens: lower-case words, with numbers, capitalised words inside a
 slots. A slot stands in windows by its type only, so a question with other numbers or names has the same windows. Windows
 of all documents meet the benchmark's windows in a hash join. A document leaks an item if it holds enough of the item's
 windows and its slots are filled consistently: one value of the item always answers to one value of the document, and the
-other way round.
+other way round. Consistency is asked of one occurrence at a time: of each alignment (place in the document less place in
+the item), of overlapping bands of alignments no wider than the item, and of the whole document. Where an item's window
+matches at several places, the alignment with the most windows speaks for it. One consistent occurrence is enough.
 
 Everything is DataFrame functions. The benchmark's windows are broadcast behind a check of their number, and shuffled
 beyond it; documents are read again only for the rows that hold enough windows.
@@ -61,6 +63,24 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def _occurrences(met: DataFrame) -> DataFrame:
+    """(row_key, item_id, band, item_pos, pos, m): for each band of alignments, one match of each of the item's windows.
+
+    Bands are single alignments, ranges of them as wide as the item that overlap by half, so that inserted and dropped words
+    split no occurrence, and the whole document; items without slots need the last only.
+    """
+    shift, half = F.col("pos") - F.col("item_pos"), F.greatest(F.lit(1), F.floor(F.col("n") / 2))
+    at = F.floor(F.col("shift") / half)
+    band = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("long").alias("at"))
+    whole = band(2, F.lit(0))
+    bands = F.when(F.col("slotted"), F.array(band(0, F.col("shift")), band(1, at), band(1, at - 1), whole)).otherwise(F.array(whole))
+    rows = met.select("row_key", "item_id", "item_pos", "m", "n", "slotted", shift.alias("shift")).distinct()
+    support = rows.groupBy("row_key", "item_id", "shift").agg(F.count("*").alias("support"))
+    rows = rows.join(support, ["row_key", "item_id", "shift"]).withColumn("band", F.explode(bands))
+    best = rows.groupBy("row_key", "item_id", "band", "item_pos", "m").agg(F.max(F.struct("support", "shift")).alias("best"))
+    return stage_table(best.select("row_key", "item_id", "band", "item_pos", (F.col("item_pos") + F.col("best.shift")).alias("pos"), "m"), "placed")
+
+
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = 0.6, min_consistent: float = 0.8) -> DataFrame:
     """One row for each document and item that it leaks: doc_id, item_id, item_windows, matched_windows, slots, slots_consistent, row_key."""
     items = benchmark.select("item_id", tokens(F.col("text")).alias("t")).where(F.size("t") >= MIN_TOKENS).withColumn("h", _template(F.col("t"))).distinct()
@@ -69,28 +89,37 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     wanted = _windows(items, ["item_id", "h"], sizes or [window])
     # each item has windows of one size only; windows of hardly more than slots say nothing
     literal = F.size(F.filter(F.slice("h", F.col("pos") + 1, F.col("m")), lambda x: (x < 1) | (x > 3)))
-    wanted = wanted.where((F.col("m") == F.least(F.size("h"), F.lit(window))) & (literal >= 2)).select("item_id", "m", F.col("pos").alias("item_pos"), "window")
+    own = (F.col("m") == F.least(F.size("h"), F.lit(window))) & (literal >= 2)
+    slotted = F.exists("h", lambda x: (x >= 1) & (x <= 3))
+    wanted = wanted.where(own).select("item_id", "m", F.size("h").alias("n"), slotted.alias("slotted"), F.col("pos").alias("item_pos"), "window")
     wanted = stage_table(wanted, "item_windows")
     total = stage_table(wanted.groupBy("item_id").agg(F.count("*").alias("item_windows")), "item_totals")
 
     read = docs.where("text is not null").select("doc_id", row_key().alias("row_key"), _template(tokens(F.col("text"))).alias("h"))
     met = _windows(read, ["doc_id", "row_key"], sizes or [window]).join(maybe_broadcast(wanted), ["m", "window"])
-    met = stage_table(met.select("doc_id", "row_key", "item_id", "item_pos", "pos", "m"), "met")
-    enough = met.groupBy("doc_id", "row_key", "item_id").agg(F.count_distinct("item_pos").alias("matched_windows")).join(total, "item_id")
-    enough = stage_table(enough.where(F.col("matched_windows") >= F.col("item_windows") * min_coverage), "enough")
+    met = stage_table(met.select("doc_id", "row_key", "item_id", "item_pos", "pos", "m", "n", "slotted"), "met")
+    enough = met.groupBy("doc_id", "row_key", "item_id").agg(F.count_distinct("item_pos").alias("found_windows")).join(total, "item_id")
+    enough = stage_table(enough.where(F.col("found_windows") >= F.col("item_windows") * min_coverage).drop("found_windows"), "enough")
+
+    placed = _occurrences(met.join(enough.select("row_key", "item_id"), ["row_key", "item_id"], "left_semi"))
+    held_windows = placed.groupBy("row_key", "item_id", "band").agg(F.count("*").alias("matched_windows")).join(total, "item_id")
+    held_windows = held_windows.where(F.col("matched_windows") >= F.col("item_windows") * min_coverage).drop("item_windows")
+    held_windows = stage_table(held_windows, "occurrences")
 
     # slots inside matched windows: what the item has there and what the document has
+    place = ["row_key", "item_id", "band"]
     slots = items.select("item_id", F.posexplode("t").alias("slot_pos", "item_value")).where(F.ascii("item_value") <= 3)
-    asked = met.join(enough.select("row_key", "item_id"), ["row_key", "item_id"], "left_semi").join(slots, "item_id").where("slot_pos >= item_pos and slot_pos < item_pos + m")
-    asked = stage_table(asked.select("row_key", "item_id", "item_value", (F.col("pos") + F.col("slot_pos") - F.col("item_pos")).alias("at")).distinct(), "slots")
+    asked = placed.join(held_windows.select(*place), place, "left_semi").join(slots, "item_id").where("slot_pos >= item_pos and slot_pos < item_pos + m")
+    asked = stage_table(asked.select(*place, "item_value", (F.col("pos") + F.col("slot_pos") - F.col("item_pos")).alias("at")).distinct(), "slots")
     held = docs.where("text is not null").withColumn("row_key", row_key()).join(maybe_broadcast(asked.select("row_key").distinct()), "row_key", "left_semi").select("row_key", tokens(F.col("text")).alias("t")).dropDuplicates(["row_key"])
-    filled = asked.join(held, "row_key").select("row_key", "item_id", "item_value", F.element_at("t", F.col("at") + 1).alias("value")).distinct()
-    forth = filled.groupBy("row_key", "item_id", "item_value").agg(F.count("*").alias("n"), F.first("value").alias("value"))
-    back = filled.groupBy("row_key", "item_id", "value").agg(F.count("*").alias("k"))
-    agreed = forth.join(back, ["row_key", "item_id", "value"], "left").groupBy("row_key", "item_id").agg(F.count("*").alias("slots"), F.avg(((F.col("n") == 1) & (F.col("k") == 1)).cast("double")).alias("slots_consistent"))
-    out = enough.join(agreed, ["row_key", "item_id"], "left")
-    out = out.select("doc_id", "item_id", "item_windows", "matched_windows", F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("slots_consistent", F.lit(1.0)).alias("slots_consistent"), "row_key")
-    return out.where(F.col("slots_consistent") >= min_consistent)
+    filled = asked.join(held, "row_key").select(*place, "item_value", F.element_at("t", F.col("at") + 1).alias("value")).distinct()
+    forth = filled.groupBy(*place, "item_value").agg(F.count("*").alias("n"), F.first("value").alias("value"))
+    back = filled.groupBy(*place, "value").agg(F.count("*").alias("k"))
+    agreed = forth.join(back, [*place, "value"], "left").groupBy(*place).agg(F.count("*").alias("slots"), F.avg(((F.col("n") == 1) & (F.col("k") == 1)).cast("double")).alias("slots_consistent"))
+    judged = held_windows.join(agreed, place, "left").withColumn("slots", F.coalesce("slots", F.lit(0))).withColumn("slots_consistent", F.coalesce("slots_consistent", F.lit(1.0)))
+    judged = judged.where(F.col("slots_consistent") >= min_consistent).groupBy("row_key", "item_id").agg(F.max(F.struct("matched_windows", "slots_consistent", "slots")).alias("best"))
+    out = enough.join(judged, ["row_key", "item_id"])
+    return out.select("doc_id", "item_id", "item_windows", "best.matched_windows", "best.slots", "best.slots_consistent", "row_key")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = 0.6, min_consistent: float = 0.8) -> DataFrame:

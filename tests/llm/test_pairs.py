@@ -214,6 +214,16 @@ def test_slots_must_agree(spark):
     assert leaks(spark, [same, mixed, item], [item], min_consistent=0.0) == {(0, 0), (1, 0), (2, 0)}
 
 
+def test_one_consistent_occurrence_is_enough(spark):
+    item = "A train leaves Paris at 9 and travels 120 km. How far does Alice walk in 3 hours?"
+    other = item.replace("Paris", "Lyon").replace("9", "7").replace("120", "80").replace("Alice", "Maria").replace("3 hours", "5 hours")
+    third = item.replace("Paris", "Rome").replace("9", "4").replace("120", "60").replace("Alice", "Kim").replace("3 hours", "2 hours")
+    longer = lambda t: t.replace(" How far", " So how far")
+    texts = [item, other, f"{item} {other}", f"{other} {third}", f"{third}\n{other}\n{item}", f"{longer(other)} {longer(third)}"]
+    assert leaks(spark, texts, [item]) == {(i, 0) for i in range(6)}
+    assert decontaminate.drop_leaks(frame(spark, texts), spark.createDataFrame([(0, item)], "item_id long, text string")).count() == 0
+
+
 def test_leaks_of_the_corpus(spark):
     docs, bench = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "benchmark")
     words = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
