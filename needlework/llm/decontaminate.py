@@ -4,7 +4,8 @@ Texts become tokens: lower-case words, with numbers, capitalised words inside a
 slots. A slot stands in windows by its type only, so a question with other numbers or names has the same windows. Windows
 of all documents meet the benchmark's windows in a hash join. A document leaks an item if it holds enough of the item's
 windows and its slots are filled consistently: one value of the item always answers to one value of the document, and the
-other way round. Consistency is asked of one occurrence at a time: of each alignment (place in the document less place in
+other way round. Windows of fewer than two literal tokens are met verbatim, with the values of their slots; enough are 0.6 of
+all windows, or of those that are templates. Consistency is asked of one occurrence at a time: of each alignment (place in the document less place in
 the item), of overlapping bands of alignments no wider than the item, and of the whole document. Where an item's window
 matches at several places, the alignment with the most windows speaks for it. One consistent occurrence is enough.
 
@@ -48,23 +49,42 @@ def _template(found: Column) -> Column:
     return F.transform(found, lambda t: F.when(F.ascii(t) > 3, F.xxhash64(t)).otherwise(F.ascii(t).cast("long")))
 
 
-def _windows(rows: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
-    """(keys, m, pos, window) of every window of each size in ``sizes``; rows have an array ``h`` of hashes."""
+def _literal(t: Column) -> Column:
+    """A token as it stands, without its mark."""
+    return F.when(F.ascii(t) > 3, t).otherwise(F.substring(t, 2, 1 << 30))
+
+
+def _verbatim(found: Column) -> Column:
+    """A hash for each token; slots give their values."""
+    return F.transform(found, lambda t: F.xxhash64(_literal(t)))
+
+
+def _windows(rows: DataFrame, keys: list[str], sizes: list[int], forms: list[str]) -> DataFrame:
+    """(keys, m, pos, window) of every window of each size in ``sizes``; ``forms`` are arrays of hashes, a repeated form counts once."""
 
     def of(m: int) -> DataFrame:
-        at = F.when(F.size("h") >= m, F.transform(F.sequence(F.lit(0), F.size("h") - m), lambda i: F.xxhash64(F.slice("h", i + 1, m))))
-        return rows.select(*keys, F.posexplode(at).alias("pos", "window")).withColumn("m", F.lit(m))
+        last = F.size(forms[0]) - m
+        hashed = lambda form: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(form, i + 1, m)))
+        at = [hashed(form) for form in forms]
+        own = [at[0], *(F.when(reduce(Column.__or__, [F.col(form) == F.col(x) for x in forms[:k]]), F.array().cast("array<bigint>")).otherwise(at[k]) for k, form in enumerate(forms) if k)]
+        found = rows.select(*keys, (last + 1).alias("count"), F.posexplode(F.when(last >= 0, F.concat(*own))).alias("pos", "window"))
+        return found.select(*keys, (F.col("pos") % F.col("count")).alias("pos"), "window", F.lit(m).alias("m"))
 
     return reduce(DataFrame.unionByName, map(of, sizes))
 
 
+def _literals(form: str) -> Column:
+    """How many tokens of the window at ``pos`` are no slots."""
+    return F.size(F.filter(F.slice(form, F.col("pos") + 1, F.col("m")), lambda x: (x < 1) | (x > 3)))
+
+
 def row_key() -> Column:
     """Tells rows apart by id and text; equal rows are one."""
     return F.xxhash64("doc_id", "text")
 
 
 def _occurrences(met: DataFrame) -> DataFrame:
-    """(row_key, item_id, band, item_pos, pos, m): for each band of alignments, one match of each of the item's windows.
+    """(row_key, item_id, band, item_pos, pos, m, typed): for each band of alignments, one match of each of the item's windows.
 
     Bands are single alignments, ranges of them as wide as the item that overlap by half, so that inserted and dropped words
     split no occurrence, and the whole document; items without slots need the last only.
@@ -74,11 +94,11 @@ def _occurrences(met: DataFrame) -> DataFrame:
     band = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("long").alias("at"))
     whole = band(2, F.lit(0))
     bands = F.when(F.col("slotted"), F.array(band(0, F.col("shift")), band(1, at), band(1, at - 1), whole)).otherwise(F.array(whole))
-    rows = met.select("row_key", "item_id", "item_pos", "m", "n", "slotted", shift.alias("shift")).distinct()
+    rows = met.select("row_key", "item_id", "item_pos", "m", "n", "slotted", "typed", shift.alias("shift")).distinct()
     support = rows.groupBy("row_key", "item_id", "shift").agg(F.count("*").alias("support"))
     rows = rows.join(support, ["row_key", "item_id", "shift"]).withColumn("band", F.explode(bands))
-    best = rows.groupBy("row_key", "item_id", "band", "item_pos", "m").agg(F.max(F.struct("support", "shift")).alias("best"))
-    return stage_table(best.select("row_key", "item_id", "band", "item_pos", (F.col("item_pos") + F.col("best.shift")).alias("pos"), "m"), "placed")
+    best = rows.groupBy("row_key", "item_id", "band", "item_pos", "m", "typed").agg(F.max(F.struct("support", "shift")).alias("best"))
+    return stage_table(best.select("row_key", "item_id", "band", "item_pos", (F.col("item_pos") + F.col("best.shift")).alias("pos"), "m", "typed"), "placed")
 
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = 0.6, min_consistent: float = 0.8) -> DataFrame:
@@ -86,24 +106,34 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     items = benchmark.select("item_id", tokens(F.col("text")).alias("t")).where(F.size("t") >= MIN_TOKENS).withColumn("h", _template(F.col("t"))).distinct()
     items = stage_table(items, "items")
     sizes = sorted(r.m for r in items.select(F.least(F.size("h"), F.lit(window)).alias("m")).distinct().collect())
-    wanted = _windows(items, ["item_id", "h"], sizes or [window])
-    # each item has windows of one size only; windows of hardly more than slots say nothing
-    literal = F.size(F.filter(F.slice("h", F.col("pos") + 1, F.col("m")), lambda x: (x < 1) | (x > 3)))
-    own = (F.col("m") == F.least(F.size("h"), F.lit(window))) & (literal >= 2)
+    full = items.select("item_id", "h", _verbatim(F.col("t")).alias("v"))
+    # each item has windows of one size only; windows of hardly more than slots say nothing as templates and are met verbatim
+    own = F.col("m") == F.least(F.size("h"), F.lit(window))
+    wide = lambda form: _windows(full.withColumn("form", F.col(form)), ["item_id", "h"], sizes or [window], ["form"]).where(own)
+    typed = F.when(_literals("h") >= 2, True).otherwise(False)
+    wanted = wide("h").where(typed).withColumn("verbatim", F.lit(False)).unionByName(wide("v").where(~typed).withColumn("verbatim", F.lit(True)))
     slotted = F.exists("h", lambda x: (x >= 1) & (x <= 3))
-    wanted = wanted.where(own).select("item_id", "m", F.size("h").alias("n"), slotted.alias("slotted"), F.col("pos").alias("item_pos"), "window")
-    wanted = stage_table(wanted, "item_windows")
-    total = stage_table(wanted.groupBy("item_id").agg(F.count("*").alias("item_windows")), "item_totals")
-
-    read = docs.where("text is not null").select("doc_id", row_key().alias("row_key"), _template(tokens(F.col("text"))).alias("h"))
-    met = _windows(read, ["doc_id", "row_key"], sizes or [window]).join(maybe_broadcast(wanted), ["m", "window"])
-    met = stage_table(met.select("doc_id", "row_key", "item_id", "item_pos", "pos", "m", "n", "slotted"), "met")
-    enough = met.groupBy("doc_id", "row_key", "item_id").agg(F.count_distinct("item_pos").alias("found_windows")).join(total, "item_id")
-    enough = stage_table(enough.where(F.col("found_windows") >= F.col("item_windows") * min_coverage).drop("found_windows"), "enough")
+    wanted = wanted.select("item_id", "m", F.size("h").alias("n"), slotted.alias("slotted"), F.col("pos").alias("item_pos"), "window", typed.alias("typed"), "verbatim")
+    wanted = stage_table(wanted.distinct(), "item_windows")
+    count = lambda which=True: F.count_distinct(F.when(which, F.col("item_pos")))
+    total = stage_table(wanted.groupBy("item_id").agg(count(F.lit(True)).alias("all_windows"), count(F.col("typed")).alias("typed_windows")), "item_totals")
+    forms = ["h", *(["v"] if wanted.where("verbatim").limit(1).count() else [])]
+    # an item with other values meets its templates only, so they count by themselves too
+    found = [count(F.lit(True)).alias("met_windows"), count(F.col("typed")).alias("met_typed")]
+    by_all = F.col("met_windows") >= F.col("all_windows") * min_coverage
+    covered = by_all | ((F.col("typed_windows") > 0) & (F.col("met_typed") >= F.col("typed_windows") * min_coverage))
+
+    read = docs.where("text is not null").select("doc_id", row_key().alias("row_key"), tokens(F.col("text")).alias("t"))
+    read = read.select("doc_id", "row_key", _template(F.col("t")).alias("h"), _verbatim(F.col("t")).alias("v"))
+    met = _windows(read, ["doc_id", "row_key"], sizes or [window], forms).join(maybe_broadcast(wanted.drop("verbatim")), ["m", "window"])
+    met = stage_table(met.select("doc_id", "row_key", "item_id", "item_pos", "pos", "m", "n", "slotted", "typed"), "met")
+    enough = met.groupBy("doc_id", "row_key", "item_id").agg(*found).join(total, "item_id").where(covered)
+    enough = stage_table(enough.select("doc_id", "row_key", "item_id"), "enough")
 
     placed = _occurrences(met.join(enough.select("row_key", "item_id"), ["row_key", "item_id"], "left_semi"))
-    held_windows = placed.groupBy("row_key", "item_id", "band").agg(F.count("*").alias("matched_windows")).join(total, "item_id")
-    held_windows = held_windows.where(F.col("matched_windows") >= F.col("item_windows") * min_coverage).drop("item_windows")
+    held_windows = placed.groupBy("row_key", "item_id", "band").agg(*found).join(total, "item_id").where(covered)
+    asked_of = lambda whole, part: F.when(by_all, F.col(whole)).otherwise(F.col(part))
+    held_windows = held_windows.select("row_key", "item_id", "band", asked_of("met_windows", "met_typed").alias("matched_windows"), asked_of("all_windows", "typed_windows").alias("item_windows"))
     held_windows = stage_table(held_windows, "occurrences")
 
     # slots inside matched windows: what the item has there and what the document has
@@ -117,9 +147,9 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     back = filled.groupBy(*place, "value").agg(F.count("*").alias("k"))
     agreed = forth.join(back, [*place, "value"], "left").groupBy(*place).agg(F.count("*").alias("slots"), F.avg(((F.col("n") == 1) & (F.col("k") == 1)).cast("double")).alias("slots_consistent"))
     judged = held_windows.join(agreed, place, "left").withColumn("slots", F.coalesce("slots", F.lit(0))).withColumn("slots_consistent", F.coalesce("slots_consistent", F.lit(1.0)))
-    judged = judged.where(F.col("slots_consistent") >= min_consistent).groupBy("row_key", "item_id").agg(F.max(F.struct("matched_windows", "slots_consistent", "slots")).alias("best"))
+    judged = judged.where(F.col("slots_consistent") >= min_consistent).groupBy("row_key", "item_id").agg(F.max(F.struct("matched_windows", "slots_consistent", "slots", "item_windows")).alias("best"))
     out = enough.join(judged, ["row_key", "item_id"])
-    return out.select("doc_id", "item_id", "item_windows", "best.matched_windows", "best.slots", "best.slots_consistent", "row_key")
+    return out.select("doc_id", "item_id", "best.item_windows", "best.matched_windows", "best.slots", "best.slots_consistent", "row_key")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = 0.6, min_consistent: float = 0.8) -> DataFrame:

@@ -224,6 +224,12 @@ def test_one_consistent_occurrence_is_enough(spark):
     assert decontaminate.drop_leaks(frame(spark, texts), spark.createDataFrame([(0, item)], "item_id long, text string")).count() == 0
 
 
+def test_windows_of_slots_are_met_verbatim(spark):
+    items = ["Who Wrote Hamlet And Macbeth", "2 + 2 = 4 ; 3 + 3 = 6", "add 1 2 3 4 5 6 7 8 9 to the sum of both"]
+    texts = [f"Well. {t}? So it is." for t in items] + ["2 + 2 = 5 ; 3 + 3 = 7", items[2].replace("1 2 3", "4 3 2")]
+    assert leaks(spark, texts, items) == {(0, 0), (1, 1), (2, 2), (4, 2)}
+
+
 def test_leaks_of_the_corpus(spark):
     docs, bench = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "benchmark")
     words = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
