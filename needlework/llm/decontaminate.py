@@ -4,7 +4,8 @@ Texts become tokens: lower-case words, with numbers, capitalised words inside a
 slots. A slot stands in windows by its type only, so a question with other numbers or names has the same windows. Windows
 of all documents meet the benchmark's windows in a hash join. A document leaks an item if it holds enough of the item's
 windows and its slots are filled consistently: one value of the item always answers to one value of the document, and the
-other way round. Windows of fewer than two literal tokens are met verbatim, with the values of their slots; enough are 0.6 of
+other way round. Windows are also met with their names as lower-case words, so a copy in another case is found; either form
+counts. Windows of fewer than two literal tokens even so are met verbatim, with the values of their slots; enough are 0.6 of
 all windows, or of those that are templates. Consistency is asked of one occurrence at a time: of each alignment (place in the document less place in
 the item), of overlapping bands of alignments no wider than the item, and of the whole document. Where an item's window
 matches at several places, the alignment with the most windows speaks for it. One consistent occurrence is enough.
@@ -39,7 +40,7 @@ def tokens(text: Column) -> Column:
     numbered = F.regexp_replace(whole, r"(?<![\p{L}\d])\d+(?![\d])", "\x02$0")
     numbered = F.regexp_replace(numbered, r"(\x02\d+) ?%", "$1 \x03percent")
     numbered = F.regexp_replace(numbered, r"[$€£] ?(?=\x02)", " \x03currency ")
-    numbered = F.regexp_replace(numbered, rf"(?i)(\x02\d+) ?({UNITS})(?![\p{{L}}\p{{N}}])", "$1 \x03$2")
+    numbered = F.regexp_replace(numbered, rf"(?i)(\x02\d+) ?\x01?({UNITS})(?![\p{{L}}\p{{N}}])", "$1 \x03$2")
     marked = F.when(text.rlike(r"\d"), numbered).otherwise(named)
     return F.filter(F.split(F.lower(marked), r"[^\p{L}\p{M}\p{N}\x01-\x03]+"), lambda t: t != "")
 
@@ -54,6 +55,16 @@ def _literal(t: Column) -> Column:
     return F.when(F.ascii(t) > 3, t).otherwise(F.substring(t, 2, 1 << 30))
 
 
+def _unnamed(t: Column) -> Column:
+    """A token without the mark of a name; other marks stay."""
+    return F.when(F.ascii(t) == 1, _literal(t)).otherwise(t)
+
+
+def _nameless(found: Column) -> Column:
+    """As :func:`_template`, but names count as the words they are: case doesn't matter."""
+    return F.transform(found, lambda t: F.when(F.ascii(t) > 3, F.xxhash64(t)).when(F.ascii(t) == 1, F.xxhash64(_literal(t))).otherwise(F.ascii(t).cast("long")))
+
+
 def _verbatim(found: Column) -> Column:
     """A hash for each token; slots give their values."""
     return F.transform(found, lambda t: F.xxhash64(_literal(t)))
@@ -106,25 +117,25 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     items = benchmark.select("item_id", tokens(F.col("text")).alias("t")).where(F.size("t") >= MIN_TOKENS).withColumn("h", _template(F.col("t"))).distinct()
     items = stage_table(items, "items")
     sizes = sorted(r.m for r in items.select(F.least(F.size("h"), F.lit(window)).alias("m")).distinct().collect())
-    full = items.select("item_id", "h", _verbatim(F.col("t")).alias("v"))
-    # each item has windows of one size only; windows of hardly more than slots say nothing as templates and are met verbatim
+    full = items.select("item_id", "h", _nameless(F.col("t")).alias("p"), _verbatim(F.col("t")).alias("v"))
+    # each item has windows of one size only; windows of hardly more than slots say nothing as templates: they are met as words or verbatim
     own = F.col("m") == F.least(F.size("h"), F.lit(window))
-    wide = lambda form: _windows(full.withColumn("form", F.col(form)), ["item_id", "h"], sizes or [window], ["form"]).where(own)
-    typed = F.when(_literals("h") >= 2, True).otherwise(False)
-    wanted = wide("h").where(typed).withColumn("verbatim", F.lit(False)).unionByName(wide("v").where(~typed).withColumn("verbatim", F.lit(True)))
+    wide = lambda form: _windows(full.withColumn("form", F.col(form)), ["item_id", "h", "p"], sizes or [window], ["form"]).where(own)
+    typed, worded = _literals("h") >= 2, _literals("p") >= 2
+    wanted = wide("h").where(typed).unionByName(wide("p").where(worded)).withColumn("verbatim", F.lit(False)).unionByName(wide("v").where(~worded).withColumn("verbatim", F.lit(True)))
     slotted = F.exists("h", lambda x: (x >= 1) & (x <= 3))
     wanted = wanted.select("item_id", "m", F.size("h").alias("n"), slotted.alias("slotted"), F.col("pos").alias("item_pos"), "window", typed.alias("typed"), "verbatim")
     wanted = stage_table(wanted.distinct(), "item_windows")
     count = lambda which=True: F.count_distinct(F.when(which, F.col("item_pos")))
     total = stage_table(wanted.groupBy("item_id").agg(count(F.lit(True)).alias("all_windows"), count(F.col("typed")).alias("typed_windows")), "item_totals")
-    forms = ["h", *(["v"] if wanted.where("verbatim").limit(1).count() else [])]
+    forms = ["h", "p", *(["v"] if wanted.where("verbatim").limit(1).count() else [])]
     # an item with other values meets its templates only, so they count by themselves too
     found = [count(F.lit(True)).alias("met_windows"), count(F.col("typed")).alias("met_typed")]
     by_all = F.col("met_windows") >= F.col("all_windows") * min_coverage
     covered = by_all | ((F.col("typed_windows") > 0) & (F.col("met_typed") >= F.col("typed_windows") * min_coverage))
 
     read = docs.where("text is not null").select("doc_id", row_key().alias("row_key"), tokens(F.col("text")).alias("t"))
-    read = read.select("doc_id", "row_key", _template(F.col("t")).alias("h"), _verbatim(F.col("t")).alias("v"))
+    read = read.select("doc_id", "row_key", _template(F.col("t")).alias("h"), _nameless(F.col("t")).alias("p"), _verbatim(F.col("t")).alias("v"))
     met = _windows(read, ["doc_id", "row_key"], sizes or [window], forms).join(maybe_broadcast(wanted.drop("verbatim")), ["m", "window"])
     met = stage_table(met.select("doc_id", "row_key", "item_id", "item_pos", "pos", "m", "n", "slotted", "typed"), "met")
     enough = met.groupBy("doc_id", "row_key", "item_id").agg(*found).join(total, "item_id").where(covered)
@@ -138,11 +149,11 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
     # slots inside matched windows: what the item has there and what the document has
     place = ["row_key", "item_id", "band"]
-    slots = items.select("item_id", F.posexplode("t").alias("slot_pos", "item_value")).where(F.ascii("item_value") <= 3)
+    slots = items.select("item_id", F.posexplode("t").alias("slot_pos", "item_value")).where(F.ascii("item_value") <= 3).withColumn("item_value", _unnamed(F.col("item_value")))
     asked = placed.join(held_windows.select(*place), place, "left_semi").join(slots, "item_id").where("slot_pos >= item_pos and slot_pos < item_pos + m")
     asked = stage_table(asked.select(*place, "item_value", (F.col("pos") + F.col("slot_pos") - F.col("item_pos")).alias("at")).distinct(), "slots")
     held = docs.where("text is not null").withColumn("row_key", row_key()).join(maybe_broadcast(asked.select("row_key").distinct()), "row_key", "left_semi").select("row_key", tokens(F.col("text")).alias("t")).dropDuplicates(["row_key"])
-    filled = asked.join(held, "row_key").select(*place, "item_value", F.element_at("t", F.col("at") + 1).alias("value")).distinct()
+    filled = asked.join(held, "row_key").select(*place, "item_value", _unnamed(F.element_at("t", F.col("at") + 1)).alias("value")).distinct()
     forth = filled.groupBy(*place, "item_value").agg(F.count("*").alias("n"), F.first("value").alias("value"))
     back = filled.groupBy(*place, "value").agg(F.count("*").alias("k"))
     agreed = forth.join(back, [*place, "value"], "left").groupBy(*place).agg(F.count("*").alias("slots"), F.avg(((F.col("n") == 1) & (F.col("k") == 1)).cast("double")).alias("slots_consistent"))

@@ -230,6 +230,12 @@ def test_windows_of_slots_are_met_verbatim(spark):
     assert leaks(spark, texts, items) == {(0, 0), (1, 1), (2, 2), (4, 2)}
 
 
+def test_case_hides_no_copy(spark):
+    items = ["A train leaves Paris at 9 and travels 120 km. How far does Alice walk in 3 hours?", "Yesterday Bob And Carol Met Dave Near Big Ben In London"]
+    texts = [f(t) for t in items for f in (str, str.lower, str.upper, str.title)] + [items[0].replace("Paris", "Lyon").replace("Alice", "Maria")]
+    assert leaks(spark, texts, items) == {(i, i // 4) for i in range(8)} | {(8, 0)}
+
+
 def test_leaks_of_the_corpus(spark):
     docs, bench = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "benchmark")
     words = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
