@@ -32,7 +32,16 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+# Overlapping beginnings are all tried; where the number ends, its checksum says.
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}))")
+_IBAN_LENGTH = {
+    country: int(length)
+    for length, countries in (x.split(":") for x in (
+        "15:NO 16:BE 18:DK,FI,FO,GL,NL 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,TL "
+        "24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:PT,ST 26:IS,TR 27:FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU 31:MT,SC 32:LC"
+    ).split())
+    for country in countries.split(",")
+}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"(?:token|secret|password|passwd|api[_-]?key)\"?\s{0,3}[=:]\s{0,3}\"?([A-Za-z0-9_/+-]{16,256})", re.I)
 _DIGIT = re.compile(r"[0-9]")
@@ -104,6 +113,27 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
             at = text.find("@", at + 1)
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Of the endings behind which no letter or digit follows and whose mod-97 holds, the country's or else the longest."""
+    free = 0
+    for m in _IBAN.finditer(text):
+        start, end = m.span(1)
+        if start < free:
+            continue
+        valid: list[tuple[int, int]] = []
+        while end > start + 4:
+            if text[end - 1] != " " and not (end < len(text) and text[end].isascii() and text[end].isalnum()):
+                whole = text[start:end].replace(" ", "")
+                if len(whole) < 15:
+                    break
+                if mod97(whole):
+                    valid.append((len(whole), end))
+            end -= 1
+        if valid:
+            free = dict(valid).get(_IBAN_LENGTH.get(text[start : start + 2], 0), valid[0][1])
+            yield start, free
+
+
 def _small(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) <= 3 and int(part or "0") <= 255
@@ -122,7 +152,7 @@ def find_spans(text: str | None, threshold: float = 0.5) -> list[Span]:
                 found.append((m.start(), m.end(), "card"))
         if "+" in text:
             found += [(m.start(), m.end(), "phone") for m in _PHONE.finditer(text) if 10 <= sum(map(str.isdigit, m[0])) <= 15]
-        found += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+        found += [(s, e, "iban") for s, e in _ibans(text)]
         found += [(m.start(), m.end(), "ssn") for m in _SSN.finditer(text)]
     if "=" in text or ":" in text:
         found += [(m.start(1), m.end(1), "secret") for m in _SECRET.finditer(text)]

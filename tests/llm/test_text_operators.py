@@ -69,6 +69,15 @@ def test_checksums_and_context():
     assert pii.redact(text, pii.find_spans(text)) == "é mail [EMAIL] or [PHONE]."
 
 
+def test_ibans_end_where_the_checksum_holds():
+    german, british = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    said = lambda t: [t[x.start : x.end] for x in pii.find_spans(t) if x.kind == "iban"]
+    assert said(f"IBAN: {german} BIC: COBADEFFXXX") == [german]
+    assert said("DE89370400440532013000 12 EUR") == ["DE89370400440532013000"]
+    assert said(f"{german} {british} {german} AND MORE") == [german, british, german]
+    assert said(f"AB12 {german}") == [german] and said(f"{german}a") == []
+
+
 def test_long_runs_are_linear():
     import time
 
