@@ -43,7 +43,7 @@ _IBAN_LENGTH = {
     for country in countries.split(",")
 }
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_SECRET = re.compile(r"(?:token|secret|password|passwd|api[_-]?key)\"?\s{0,3}[=:]\s{0,3}\"?([A-Za-z0-9_/+-]{16,256})", re.I)
+_SECRET = re.compile(r"(?:token|secret|password|passwd|api[_-]?key)\"?\s{0,3}[=:]\s{0,3}\"?([A-Za-z0-9_/+-]{16,}+)", re.I)
 _DIGIT = re.compile(r"[0-9]")
 
 #: Score before context, words that raise it, words that lower it.

@@ -78,6 +78,12 @@ def test_ibans_end_where_the_checksum_holds():
     assert said(f"AB12 {german}") == [german] and said(f"{german}a") == []
 
 
+def test_long_secrets_go_whole():
+    text = "token=" + "a1" * 200 + " end"
+    assert pii.redact(text, pii.find_spans(text)) == "token=[SECRET] end"
+    pii.find_spans("token=" * 50_000 + "a" * 300_000)
+
+
 def test_long_runs_are_linear():
     import time
 
