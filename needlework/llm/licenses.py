@@ -4,7 +4,8 @@ Features are word uni-, bi- and trigrams of a paragraph, only those that the tra
 logistic regression tells families apart, with a class for everything else that is trained on negative phrases and on
 paragraphs of the corpus (a bounded sample), and its probabilities are calibrated by a temperature on rows kept from
 training. A prediction counts if its probability reaches ``threshold`` and the paragraph holds enough of the word pairs of
-one of the family's templates. Long paragraphs are scanned in overlapping windows around words that licences use.
+one of the family's templates. Paragraphs end at blank lines; they and their lines are looked at, long ones in overlapping
+windows around words that licences use.
 
 Defined results: null and empty texts have no licences; rows with equal ids are scanned each on its own; other columns are
 ignored whatever their names; an empty table gives an empty result.
@@ -13,9 +14,11 @@ ignored whatever their names; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -105,6 +108,7 @@ NEGATIVES = (
 )
 
 _WORD = re.compile(r"[^\W_]+")
+_BLANK = re.compile(r"\n(?:[^\S\n]*\n)+")
 WINDOW_WORDS, STEP_WORDS = 40, 20
 
 
@@ -136,7 +140,13 @@ class LicenseModel:
         own = set(map(" ".join, zip(tokens, tokens[1:], strict=False)))
         return any(len(own & t) >= share * len(t) for t in self.pairs[family])
 
+    @cached_property
+    def all_pairs(self) -> frozenset[str]:
+        return frozenset().union(*(t for texts in self.pairs.values() for t in texts))
+
     def classify(self, tokens: list[str], threshold: float, share: float) -> tuple[str, float] | None:
+        if not any(self.confirm(f, tokens, share) for f in self.pairs):
+            return None
         p = self.probabilities(tokens)
         best = int(p.argmax())
         family = self.classes[best]
@@ -145,27 +155,48 @@ class LicenseModel:
     def scan(self, text: str | None, threshold: float, share: float) -> list[tuple[int, int, str, float]]:
         """(start, end, family, probability) of the paragraphs or windows that license something, code points."""
         out: list[tuple[int, int, str, float]] = []
-        at = 0
-        for line in (text or "").split("\n"):
-            start, at = at, at + len(line) + 1
-            found = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(line)]
-            hits = [i for i, (_, _, w) in enumerate(found) if w in self.telling]
-            if len(hits) < 2:
-                continue
-            if len(found) <= WINDOW_WORDS:
-                spans = [(0, len(found))]
-            else:
-                spans = sorted({(max(0, i // STEP_WORDS * STEP_WORDS - d), i // STEP_WORDS * STEP_WORDS - d + WINDOW_WORDS) for i in hits for d in (0, STEP_WORDS)})
-                # tight spans too: a notice inside running text stands out when its neighbours are left out
-                spans += sorted({(max(0, i - 2), min(len(found), i + n)) for i in hits for n in (6, 12, 24)})
-            best: dict[str, tuple[int, int, str, float]] = {}
-            for a, b in spans:
-                inside = found[a:b]
-                if len(inside) >= 2 and (hit := self.classify([w for _, _, w in inside], threshold, share)) and hit[1] > best.get(hit[0], (0, 0, "", 0.0))[3]:
-                    best[hit[0]] = (start + inside[0][0], start + inside[-1][1], *hit)
-            out += best.values()
+        text, at = text or "", 0
+        for end, after in [*((m.start(), m.end()) for m in _BLANK.finditer(text)), (len(text), len(text))]:
+            out += self._paragraph(text, at, end, threshold, share)
+            at = after
         return sorted(out)
 
+    def _paragraph(self, text: str, begin: int, end: int, threshold: float, share: float) -> list[tuple[int, int, str, float]]:
+        """The best span of each family in each line and in the paragraph as a whole, unless it crosses one of a line."""
+        found = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(text, begin, end)]
+        spelt = [w for _, _, w in found]
+        known = [i for i, pair in enumerate(zip(spelt, spelt[1:], strict=False)) if " ".join(pair) in self.all_pairs]
+        if not known:
+            return []
+        cuts = [0, *(i for i in range(1, len(found)) if "\n" in text[found[i - 1][1] : found[i][0]]), len(found)]
+        units = [*zip(cuts, cuts[1:], strict=False), *([(0, len(found))] if len(cuts) > 2 else [])]
+        seen: dict[tuple[int, int], tuple[str, float] | None] = {}
+        out: list[tuple[int, int, str, float]] = []
+        for lo, hi in units:
+            best: dict[str, tuple[int, int, str, float]] = {}
+            for a, b in self._spans(spelt, lo, hi):
+                if (a, b) not in seen:
+                    # without a pair of some template nothing is confirmed
+                    near = bisect_left(known, a)
+                    seen[a, b] = self.classify(spelt[a:b], threshold, share) if near < len(known) and known[near] < b - 1 else None
+                if (hit := seen[a, b]) and hit[1] > best.get(hit[0], (0, 0, "", 0.0))[3]:
+                    best[hit[0]] = (found[a][0], found[b - 1][1], *hit)
+            out += [x for x in best.values() if not any(x[2] == y[2] and x[0] < y[1] and y[0] < x[1] for y in out)]
+        return out
+
+    def _spans(self, spelt: list[str], lo: int, hi: int) -> list[tuple[int, int]]:
+        """Ranges of words between ``lo`` and ``hi`` that may be a notice."""
+        hits = [i - lo for i in range(lo, hi) if spelt[i] in self.telling]
+        if len(hits) < 2:
+            return []
+        n = hi - lo
+        if n <= WINDOW_WORDS:
+            return [(lo, hi)]
+        spans = sorted({(max(0, i // STEP_WORDS * STEP_WORDS - d), i // STEP_WORDS * STEP_WORDS - d + WINDOW_WORDS) for i in hits for d in (0, STEP_WORDS)})
+        # tight spans too: a notice inside running text stands out when its neighbours are left out
+        spans += sorted({(max(0, i - 2), min(n, i + k)) for i in hits for k in (6, 12, 24)})
+        return [(lo + a, lo + min(b, n)) for a, b in spans if min(b, n) - a >= 2]
+
 
 def _softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 400, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     w, b = np.zeros((x.shape[1], classes)), np.zeros(classes)

@@ -121,6 +121,18 @@ def test_licence_notices(license_model, text, family):
     assert {x[2] for x in license_model.scan(text, 0.6, 0.6)} == {family}
 
 
+@pytest.mark.parametrize(
+    ("text", "family"),
+    [
+        ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or", "gpl"),
+        ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:", "bsd"),
+        ("Chapter one.\n\nNo part of this publication may be reproduced\nwithout the prior written permission of the publisher.\n\nIt was", "proprietary"),
+    ],
+)
+def test_wrapped_notices(license_model, text, family):
+    assert family in {x[2] for x in license_model.scan(text, 0.6, 0.6)}
+
+
 def test_clean_texts_have_no_licence(license_model):
     for t in (*licenses.NEGATIVES, "the license was lost", "she was under the tree", None, "", "\n\n"):
         assert license_model.scan(t, 0.6, 0.6) == []
