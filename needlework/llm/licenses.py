@@ -14,7 +14,7 @@ ignored whatever their names; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -120,6 +120,28 @@ def grams(tokens: list[str]) -> list[str]:
     return [*tokens, *map(" ".join, zip(tokens, tokens[1:], strict=False)), *map(" ".join, zip(tokens, tokens[1:], tokens[2:], strict=False))]
 
 
+def _apart(spans: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """The largest choice of (start, end, probability) without overlaps; of equally many, the most probable and shortest."""
+    spans = sorted(spans, key=lambda x: (x[1], x[0]))
+    ends = [x[1] for x in spans]
+    best: list[tuple[int, float, int]] = [(0, 0.0, 0)]
+    taken: list[int] = []  # where the choice before this span ends, or -1 if the span is left out
+    for i, (a, b, p) in enumerate(spans):
+        before = bisect_right(ends, a, 0, i)
+        n, total, less = best[before]
+        with_it = (n + 1, round(total + p, 9), less - (b - a))
+        taken.append(before if with_it > best[i] else -1)
+        best.append(max(with_it, best[i]))
+    out, i = [], len(spans)
+    while i:
+        if taken[i - 1] < 0:
+            i -= 1
+        else:
+            out.append(spans[i - 1])
+            i = taken[i - 1]
+    return out[::-1]
+
+
 @dataclass
 class LicenseModel:
     classes: list[str]
@@ -162,7 +184,7 @@ class LicenseModel:
         return sorted(out)
 
     def _paragraph(self, text: str, begin: int, end: int, threshold: float, share: float) -> list[tuple[int, int, str, float]]:
-        """The best span of each family in each line and in the paragraph as a whole, unless it crosses one of a line."""
+        """As many spans of each family as don't overlap, the most probable ones, from the lines and the whole paragraph."""
         found = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(text, begin, end)]
         spelt = [w for _, _, w in found]
         known = [i for i, pair in enumerate(zip(spelt, spelt[1:], strict=False)) if " ".join(pair) in self.all_pairs]
@@ -170,18 +192,44 @@ class LicenseModel:
             return []
         cuts = [0, *(i for i in range(1, len(found)) if "\n" in text[found[i - 1][1] : found[i][0]]), len(found)]
         units = [*zip(cuts, cuts[1:], strict=False), *([(0, len(found))] if len(cuts) > 2 else [])]
-        seen: dict[tuple[int, int], tuple[str, float] | None] = {}
-        out: list[tuple[int, int, str, float]] = []
-        for lo, hi in units:
-            best: dict[str, tuple[int, int, str, float]] = {}
-            for a, b in self._spans(spelt, lo, hi):
-                if (a, b) not in seen:
-                    # without a pair of some template nothing is confirmed
-                    near = bisect_left(known, a)
-                    seen[a, b] = self.classify(spelt[a:b], threshold, share) if near < len(known) and known[near] < b - 1 else None
-                if (hit := seen[a, b]) and hit[1] > best.get(hit[0], (0, 0, "", 0.0))[3]:
-                    best[hit[0]] = (found[a][0], found[b - 1][1], *hit)
-            out += [x for x in best.values() if not any(x[2] == y[2] and x[0] < y[1] and y[0] < x[1] for y in out)]
+        fits: dict[str, list[tuple[int, int, float]]] = {}
+        for a, b in sorted({x for lo, hi in units for x in self._spans(spelt, lo, hi)}):
+            # without a pair of some template nothing is confirmed
+            near = bisect_left(known, a)
+            if near < len(known) and known[near] < b - 1 and (hit := self.classify(spelt[a:b], threshold, share)):
+                fits.setdefault(hit[0], []).append((a, b, hit[1]))
+        chosen = sorted((a, b, family, p) for family, spans in fits.items() for a, b, p in self._joined(spelt, family, _apart(spans), share))
+        # another family that holds the same word pairs and more, in both spans together, explains a span
+        explained: set[int] = set()
+        for i, x in enumerate(chosen):
+            for j in range(i + 1, len(chosen)):
+                if chosen[j][0] >= x[1]:
+                    break
+                y = chosen[j]
+                both = spelt[x[0] : max(x[1], y[1])]
+                if x[2] != y[2] and self._held(x[2], spelt[x[0] : x[1]]) < self._held(y[2], both):
+                    explained.add(i)
+                elif x[2] != y[2] and self._held(y[2], spelt[y[0] : y[1]]) < self._held(x[2], both):
+                    explained.add(j)
+        return [(found[a][0], found[b - 1][1], family, p) for i, (a, b, family, p) in enumerate(chosen) if i not in explained]
+
+    def _held(self, family: str, tokens: list[str]) -> frozenset[str]:
+        """The word pairs of the template that has most of them here."""
+        own = frozenset(map(" ".join, zip(tokens, tokens[1:], strict=False)))
+        return max((own & t for t in self.pairs[family]), key=len)
+
+    def _joined(self, spelt: list[str], family: str, spans: list[tuple[int, int, float]], share: float) -> list[tuple[int, int, float]]:
+        """Neighbours become one span if a template is confirmed by both together, with more pairs than by either and not by each: one notice."""
+        out: list[tuple[int, int, float]] = []
+        held = lambda a, b: [len(t & set(map(" ".join, zip(spelt[a:b], spelt[a + 1 : b], strict=False)))) for t in self.pairs[family]]
+        for a, b, p in spans:
+            if out and a - out[-1][1] < WINDOW_WORDS:
+                x, y, q = out[-1]
+                parts = zip(self.pairs[family], held(x, b), held(x, y), held(a, b), strict=True)
+                if any(n >= share * len(t) > min(k, m) and n > max(k, m) for t, n, k, m in parts):
+                    out[-1] = (x, b, max(p, q))
+                    continue
+            out.append((a, b, p))
         return out
 
     def _spans(self, spelt: list[str], lo: int, hi: int) -> list[tuple[int, int]]:
@@ -191,8 +239,9 @@ class LicenseModel:
             return []
         n = hi - lo
         if n <= WINDOW_WORDS:
-            return [(lo, hi)]
-        spans = sorted({(max(0, i // STEP_WORDS * STEP_WORDS - d), i // STEP_WORDS * STEP_WORDS - d + WINDOW_WORDS) for i in hits for d in (0, STEP_WORDS)})
+            spans = [(0, n)]
+        else:
+            spans = sorted({(max(0, i // STEP_WORDS * STEP_WORDS - d), i // STEP_WORDS * STEP_WORDS - d + WINDOW_WORDS) for i in hits for d in (0, STEP_WORDS)})
         # tight spans too: a notice inside running text stands out when its neighbours are left out
         spans += sorted({(max(0, i - 2), min(n, i + k)) for i in hits for k in (6, 12, 24)})
         return [(lo + a, lo + min(b, n)) for a, b in spans if min(b, n) - a >= 2]

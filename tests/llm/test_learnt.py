@@ -133,6 +133,18 @@ def test_wrapped_notices(license_model, text, family):
     assert family in {x[2] for x in license_model.scan(text, 0.6, 0.6)}
 
 
+def test_every_notice_counts(license_model):
+    notice = "Released under the MIT License. "
+    spans = license_model.scan(("word " * 300 + notice) * 5 + "word " * 300, 0.6, 0.6)
+    assert [x[2] for x in spans] == ["mit"] * 5 and all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+    short = "Released under the MIT License or licensed under the Apache License, Version 2.0"
+    assert {x[2] for x in license_model.scan(short, 0.6, 0.6)} == {"apache", "mit"}
+    assert len(license_model.scan(notice + "\n" + notice, 0.6, 0.6)) == 2
+    for family, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            assert [x[2] for x in license_model.scan(t, 0.6, 0.6)] == [family]
+
+
 def test_clean_texts_have_no_licence(license_model):
     for t in (*licenses.NEGATIVES, "the license was lost", "she was under the tree", None, "", "\n\n"):
         assert license_model.scan(t, 0.6, 0.6) == []
