@@ -1,6 +1,7 @@
 """All queries of the engine by key, with the SQL that gives the same rows.
 
-Phrase tables are not expressible in SQL at a bearable cost; their queries have an oracle where an invariant of theirs has.
+Queries on phrases take the whole table ``benchmark`` as their collection, under one dictionary: SQL can follow that parse by
+recursion. ``documents`` is parsed document by document, and what SQL can say of it is what doesn't depend on the parse.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from needlework.functions import text as fn
 from needlework.operators import ingest, lists, occurrence, phrases, topk
 from needlework.plans.index import TopkIndex
+from needlework.plans.workload import Timing, append_results
 from needlework.sources import collections as src
 from needlework.sources.shared import shared_folder
 from needlework.streaming import append
@@ -24,6 +26,9 @@ BATCH = [(0, "the", 10), (1, "ata", 3), (2, "tion the", 5), (3, "ing", 10), (4,
 GRAM, G = 4, 32
 LISTED = [(0, "tion", 10), (1, " the", 3), (2, "atio", 100), (3, "qzx!", 4), (4, "ata ", 500)]
 LETTERS = "aeilnorst"
+ITEM_G, BLOCK = 8, 200_000
+BOX = (100, 900, 200, 1500)
+SETTINGS = "[GLOBALS]\nTEST=1\nN_REP=7\nMAX_M=12\n[TOPK]\ng=16\ninputFile=/a/b\ndirStore=/c\ndirResult=/d\nfilesInList=1\nlowercase=0\nboundSymbol=10\npattFromFile=1\n"
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -34,8 +39,27 @@ def _patterns(spark: SparkSession, rows: list[tuple[int, str, int]]) -> DataFram
     return spark.createDataFrame(rows, "pattern_id long, pattern string, k int")
 
 
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return src.corpus(src.table(spark, d, "benchmark"), doc_id="item_id")
+
+
 def _phrases(spark: SparkSession, d: str) -> DataFrame:
-    return phrases.lz78_phrases(_docs(spark, d))
+    return phrases.lz78_phrases(_items(spark, d), "collection")
+
+
+_built: dict[tuple[str, str], str] = {}
+
+
+def index(spark: SparkSession, d: str) -> TopkIndex:
+    """The saved index of ``documents``: built once in a session, loaded by every query that asks it."""
+    key = (spark.sparkContext.applicationId, d)
+    path = _built.get(key)
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta/_SUCCESS")
+    if path is None or not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        path = shared_folder(spark, "index")
+        TopkIndex.build(_docs(spark, d), path, g=G, gram=GRAM, block_bytes=BLOCK)
+        _built[key] = path
+    return TopkIndex.load(spark, path)
 
 
 def _longs(df: DataFrame, *columns: str) -> DataFrame:
@@ -80,6 +104,43 @@ def split_single_file(spark, d):
     return _longs(_digest(docs), "doc_no")
 
 
+def read_file_list(spark, d):
+    """The benchmark items as files, one each, listed in order of their ids and read as a collection of files."""
+    files, names = shared_folder(spark, "files"), shared_folder(spark, "names")
+    src.table(spark, d, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(files)
+    listed = spark.read.format("binaryFile").load(files).select("path", "item_id")
+    listed.repartitionByRange(1, "item_id").sortWithinPartitions("item_id").select("path").write.text(names)  # a list of names is one file
+    return _digest(src.read_file_list(spark, names))
+
+
+def read_single_file(spark, d):
+    """The benchmark items in one file, cut at the letter l, which also stands in runs."""
+    whole = shared_folder(spark, "single")
+    items = src.table(spark, d, "benchmark").repartitionByRange(1, "item_id").sortWithinPartitions("item_id")  # one file
+    items.select("text").write.option("lineSep", "l").text(whole)
+    return _digest(src.read_single_file(spark, whole, "l"))
+
+
+def read_settings(spark, d):
+    path = shared_folder(spark, "settings")
+    spark.createDataFrame([(SETTINGS,)], "value string").write.text(path)
+    s = src.Settings.load(spark, f"{path}/part-*")
+    row = (s.g, s.input_file, int(s.files_in_list), s.store, s.results, int(s.lowercase), s.delimiter, int(s.patterns_from_file), s.repetitions, s.max_pattern, int(s.test))
+    return spark.createDataFrame([row], "g long, input_file string, files_in_list long, store string, results string, lowercase long, delimiter string, patterns_from_file long, repetitions long, max_pattern long, test long")
+
+
+def result_rows(spark, d):
+    """Timings appended twice to a folder of results, read back."""
+    path = shared_folder(spark, "results")
+    for k in (10, 100):
+        append_results([Timing(6.0, k, 5, 12.5), Timing(10.0, k, 5, 8.25)], G, 40.5, _docs(spark, d), path)
+    return spark.read.option("sep", " ").schema("m double, k long, g long, bpc double, us double").csv(path)
+
+
+def substring_slice(spark, d):
+    return ingest.substrings(_docs(spark, d), 5, 8)
+
+
 def patterns_from_lines(spark, d):
     lines = src.table(spark, d, "conversations").select(F.explode(F.split("text", "\n")).alias("value"))
     return src.patterns_of(lines)
@@ -182,41 +243,58 @@ def kstar_budget(spark, d):
     return out.withColumn("is_complete", F.col("is_complete").cast("long"))
 
 
-def _lists(spark, d):
+def build_topk_lists(spark, d):
     docs = _docs(spark, d)
-    return lists.build_gram_lists(docs, GRAM, G, docs.count())
+    return _list_rows(lists.build_gram_lists(docs, GRAM, G, docs.count()))
 
 
-def build_topk_lists(spark, d):
-    rows = _lists(spark, d).select("pattern", F.explode("docs").alias("x"))
+def _list_rows(stored):
+    rows = stored.select("pattern", F.explode("docs").alias("x"))
     return rows.select("pattern", F.col("x.rank").cast("long").alias("rank"), F.col("x.doc_id").alias("doc_id"), F.col("x.tf").alias("tf"))
 
 
+def build_phrase_lists(spark, d):
+    items = _items(spark, d)
+    return _list_rows(lists.build_phrase_lists(items, _phrases(spark, d), ITEM_G, items.count()))
+
+
 def topk_from_lists(spark, d):
-    return _longs(lists.from_lists(_patterns(spark, LISTED), _lists(spark, d)), "rank")
+    return _longs(lists.from_lists(_patterns(spark, LISTED), index(spark, d).topk_lists), "rank")
 
 
 def topk_cache_misses(spark, d):
-    return lists.misses(_patterns(spark, LISTED), _lists(spark, d)).select("pattern_id", "pattern", F.col("k").cast("long").alias("k"))
+    return lists.misses(_patterns(spark, LISTED), index(spark, d).topk_lists).select("pattern_id", "pattern", F.col("k").cast("long").alias("k"))
 
 
 def topk_routed(spark, d):
-    return _longs(lists.routed_topk(_docs(spark, d), _patterns(spark, LISTED), _lists(spark, d), 500), "rank")
+    """Stored lists first, a scan for the rest."""
+    return _longs(lists.routed_topk(_docs(spark, d), _patterns(spark, LISTED), index(spark, d).topk_lists, 500), "rank")
 
 
 def topk_after_reload(spark, d):
-    """Build, save and load an index, and answer from it: stored lists first, search for the rest."""
-    path = shared_folder(spark, "index")
-    TopkIndex.build(_docs(spark, d), g=G, gram=GRAM).save(path)
+    """A saved copy of the index, loaded: stored lists first, a search in candidate blocks for the rest."""
+    path = shared_folder(spark, "copy")
+    index(spark, d).save(path)
     return _longs(TopkIndex.load(spark, path).topk_batch(_patterns(spark, LISTED), 500), "rank")
 
 
+def topk_indexed(spark, d):
+    """Every pattern searched for in its candidate blocks only."""
+    patterns = _patterns(spark, BATCH)
+    return _longs(topk.first_k(topk.rank_within(index(spark, d).search(patterns), ["pattern_id"], 10), patterns), "rank")
+
+
+def index_totals(spark, d):
+    items, path = _items(spark, d), shared_folder(spark, "items")
+    return TopkIndex.build(items, path, g=ITEM_G, gram=None, scope="collection").totals()
+
+
 def topk_streamed(spark, d):
-    """The documents arrive as a stream; the ranking over all that came is the batch answer."""
-    patterns, path = _patterns(spark, BATCH), shared_folder(spark, "frequencies")
-    schema = src.table(spark, d, "documents").schema
-    # file streams read folders and patterns of names
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{d}/documents.parque[t]")
+    """The documents arrive as a stream of four files, a micro-batch each; the ranking over all that came is the batch answer."""
+    patterns, path, arriving = _patterns(spark, BATCH), shared_folder(spark, "frequencies"), shared_folder(spark, "arriving")
+    docs = src.table(spark, d, "documents").select("doc_id", "text")
+    docs.repartition(4, "doc_id").write.parquet(arriving)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
     append.watch(stream, patterns, path, shared_folder(spark, "progress")).awaitTermination()
     return _longs(append.standing(spark, patterns, path, 10), "rank")
 
@@ -229,23 +307,23 @@ def lz78_phrases(spark, d):
 
 
 def lz78_parse_stats(spark, d):
-    return phrases.parse_stats(_phrases(spark, d))
+    return phrases.parse_stats(phrases.lz78_phrases(_docs(spark, d)))
 
 
 def phrase_preorder(spark, d):
-    return phrases.preorder(_phrases(spark, d)).select("phrase_id", "doc_id", "preorder")
+    return phrases.preorder(_phrases(spark, d), "collection").select("phrase_id", "doc_id", "preorder")
 
 
 def phrase_trie_listing(spark, d):
-    return phrases.trie_listing(_phrases(spark, d))
+    return phrases.trie_listing(_phrases(spark, d), "collection")
 
 
 def phrase_doc_array(spark, d):
-    return phrases.doc_array(_phrases(spark, d))
+    return phrases.doc_array(_phrases(spark, d), "collection")
 
 
 def phrase_lookup_exact(spark, d):
-    return phrases.lookup_exact(_phrases(spark, d), "ent")
+    return phrases.lookup_exact(_phrases(spark, d), "en")
 
 
 def phrases_ending_with(spark, d):
@@ -257,7 +335,7 @@ def reverse_phrases(spark, d):
 
 
 def adjacent_phrases(spark, d):
-    return phrases.adjacent(_phrases(spark, d))
+    return phrases.adjacent(_phrases(spark, d), "collection")
 
 
 def next_phrase(spark, d):
@@ -265,19 +343,31 @@ def next_phrase(spark, d):
 
 
 def subtree_size(spark, d):
-    return phrases.subtree_size(_phrases(spark, d), "th")
+    return phrases.subtree_size(_phrases(spark, d), "th", "collection")
+
+
+def rightmost_leaf(spark, d):
+    return phrases.rightmost_leaf(_phrases(spark, d), "th", "collection")
 
 
 def fictitious_nodes(spark, d):
-    return phrases.fictitious_nodes(_phrases(spark, d))
+    return phrases.fictitious_nodes(_phrases(spark, d), "collection")
 
 
 def pattern_phrase_factors(spark, d):
-    return phrases.pattern_factors(_phrases(spark, d), CROSSING)
+    return _longs(phrases.pattern_factors(_phrases(spark, d), CROSSING), "i", "j")
+
+
+def grid_points(spark, d):
+    return phrases.grid(_phrases(spark, d), "collection")
+
+
+def grid_range(spark, d):
+    return phrases.grid_range(phrases.grid(_phrases(spark, d), "collection"), *BOX)
 
 
 def range_report(spark, d):
-    return phrases.range_report(_phrases(spark, d), "t", "he")
+    return phrases.range_report(_phrases(spark, d), "t", "h")
 
 
 def range_exists_semi(spark, d):
@@ -286,7 +376,7 @@ def range_exists_semi(spark, d):
 
 def phrase_to_document(spark, d):
     own = _phrases(spark, d)
-    return phrases.phrase_to_document(own, phrases.ending_with(own, "ing").select("phrase_id"))
+    return phrases.phrase_to_document(own, phrases.ending_with(own, "on").select("phrase_id"), 64)
 
 
 def occ_type1(spark, d):
@@ -302,22 +392,23 @@ def occ_type3(spark, d):
 
 
 def occ_all_types(spark, d):
-    return phrases.occ_all_types(_phrases(spark, d), CROSSING)
+    return phrases.occ_all_types(phrases.lz78_phrases(_docs(spark, d)), CROSSING)
 
 
 def occurrence_types(spark, d):
-    return phrases.occurrence_types(_phrases(spark, d), occurrence.locate_positions(_docs(spark, d), CROSSING), len(CROSSING))
+    return _longs(phrases.occurrence_types(_phrases(spark, d), occurrence.locate_positions(_items(spark, d), COMMON), len(COMMON)), "occ_type")
 
 
 _QUERIES: list[Query] = [
-    scan_documents, doc_numbering, doc_length, normalize_list_mode, ascii_lowercase, drop_last_byte, split_single_file, patterns_from_lines,
+    scan_documents, doc_numbering, doc_length, normalize_list_mode, ascii_lowercase, drop_last_byte, split_single_file, read_file_list,
+    read_single_file, read_settings, result_rows, substring_slice, patterns_from_lines,
     patterns_max_one_space, sample_patterns, symbol_histogram, alphabet_size, symbol_priority, corpus_stats, index_meta, count_occurrences,
     tf_per_document, document_frequency, document_listing, pattern_exists, locate_positions, position_to_document, topk_documents, topk_batch,
-    topk_batch_automaton, topk_tiebreak_length, frequent_phrases, kstar_budget, build_topk_lists, topk_from_lists, topk_cache_misses, topk_routed,
-    topk_after_reload, topk_streamed,
+    topk_batch_automaton, topk_tiebreak_length, frequent_phrases, kstar_budget, build_topk_lists, build_phrase_lists, topk_from_lists,
+    topk_cache_misses, topk_routed, topk_after_reload, topk_indexed, index_totals, topk_streamed,
     lz78_phrases, lz78_parse_stats, phrase_preorder, phrase_trie_listing, phrase_doc_array, phrase_lookup_exact, phrases_ending_with,
-    reverse_phrases, adjacent_phrases, next_phrase, subtree_size, fictitious_nodes, pattern_phrase_factors, range_report, range_exists_semi,
-    phrase_to_document, occ_type1, occ_type2, occ_type3, occ_all_types, occurrence_types,
+    reverse_phrases, adjacent_phrases, next_phrase, subtree_size, rightmost_leaf, fictitious_nodes, pattern_phrase_factors, grid_points, grid_range,
+    range_report, range_exists_semi, phrase_to_document, occ_type1, occ_type2, occ_type3, occ_all_types, occurrence_types,
 ]
 
 
@@ -369,11 +460,90 @@ _LISTED = "q(pattern_id, pattern, k) AS (VALUES " + ", ".join(f"({i}::BIGINT, {_
 _HITS = "SELECT q.pattern_id FROM q JOIN k USING (pattern) WHERE k.is_complete = 1 OR k.k_star >= q.k"
 
 
+#: One row a phrase of the benchmark items under one dictionary: w without, ph with parents; a dictionary is closed under
+#: prefixes, so the longest known beginning of the rest has as many characters as the rest has known beginnings.
+_PHRASES = """RECURSIVE d AS (SELECT item_id AS doc_id, text || chr(1) AS t, row_number() OVER (ORDER BY item_id) AS k FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+s AS (
+  SELECT 0::BIGINT AS n, 0::BIGINT AS k, 0::BIGINT AS start_pos, '' AS rest, '' AS ptext, 0::BIGINT AS longest, []::VARCHAR[] AS known
+  UNION ALL
+  SELECT n + 1, k, start_pos, substr(rest, len + 1), left(rest, len), greatest(longest, len), CASE WHEN len = length(rest) THEN known ELSE list_append(known, left(rest, len)) END
+  FROM (
+    SELECT n, k, start_pos, rest, longest, known, 1 + len(list_filter(range(1, least(longest, length(rest) - 1) + 1), lambda l: list_contains(known, left(rest, l)))) AS len
+    FROM (
+      SELECT n, d.k, CASE WHEN rest = '' THEN 0 ELSE start_pos + length(ptext) END AS start_pos, CASE WHEN rest = '' THEN d.t ELSE rest END AS rest, longest, known
+      FROM s JOIN d ON d.k = s.k + (rest = '')::BIGINT))),
+w AS (SELECT n AS phrase_id, doc_id, start_pos, ptext, right(ptext, 1) AS symbol, right(ptext, 1) = chr(1) AS is_terminal FROM s JOIN d USING (k) WHERE n > 0),
+ph AS (SELECT w.*, q.phrase_id AS parent_id FROM w LEFT JOIN w q ON NOT q.is_terminal AND q.ptext = left(w.ptext, length(w.ptext) - 1))"""
+_PREORDER = "row_number() OVER (ORDER BY ptext, phrase_id DESC)"
+_REV_RANK = "row_number() OVER (ORDER BY CASE WHEN is_terminal THEN chr(1) ELSE reverse(ptext) END, phrase_id DESC)"
+_GRID = (
+    f"r AS (SELECT doc_id, phrase_id, {_PREORDER} AS preorder, {_REV_RANK} AS rev_rank FROM w), "
+    "x AS (SELECT a.doc_id, a.phrase_id, a.rev_rank, b.phrase_id AS next_id, b.preorder AS next_preorder FROM r a JOIN r b ON b.phrase_id = a.phrase_id + 1 AND a.doc_id = b.doc_id)"
+)
+_ITEM_CHARS = "c AS (SELECT item_id AS doc_id, strlen(text)::BIGINT AS doc_length, string_split(text, '') AS a FROM benchmark WHERE text IS NOT NULL)"
+
+
+def _typed(pattern: str) -> str:
+    """The located positions of a pattern in the items, with the number of phrase starts that they run over."""
+    return (
+        f"{_ITEM_CHARS}, o AS (SELECT doc_id, unnest({_places(pattern)})::BIGINT - 1 AS pos FROM c), "
+        f"b AS (SELECT o.doc_id, o.pos, least(count(w.start_pos), 2) + 1 AS occ_type FROM o LEFT JOIN w ON w.doc_id = o.doc_id AND w.start_pos > o.pos AND w.start_pos <= o.pos + {len(pattern) - 1} GROUP BY 1, 2)"
+    )
+
+
+def _phrase_sql() -> dict[str, str]:
+    of_type = lambda pattern, kind: f"WITH {_PHRASES}, {_typed(pattern)} SELECT doc_id, count(*)::BIGINT AS occ FROM b WHERE occ_type = {kind} GROUP BY doc_id"
+    factors = ", ".join(f"({i + 1}::BIGINT, {j}::BIGINT, {_literal(CROSSING[i:j])})" for i in range(len(CROSSING)) for j in range(i + 1, len(CROSSING) + 1))
+    frequent = (
+        f"{_ITEM_CHARS}, l AS (SELECT DISTINCT ptext AS pattern FROM w WHERE NOT is_terminal), h AS (SELECT unnest(range(1, max(length(pattern)) + 1)) AS m FROM l), "
+        "e AS (SELECT doc_id, doc_length, unnest(list_transform(range(1, len(a) - m + 2), lambda i: array_to_string(a[i:i + m - 1], ''))) AS pattern FROM c, h), "
+        "f AS (SELECT pattern, doc_id, doc_length, count(*)::BIGINT AS tf FROM e JOIN l USING (pattern) GROUP BY ALL), "
+        f"b AS (SELECT pattern, least((1::BIGINT << length(bin(sum(tf)::BIGINT // {ITEM_G})))::BIGINT, (SELECT count(*) FROM c)) AS cap, count(*) AS n FROM f GROUP BY pattern HAVING sum(tf) > {ITEM_G})"
+    )
+    return {
+        "lz78_phrases": f"WITH {_PHRASES} SELECT phrase_id, parent_id, symbol, doc_id, start_pos, ptext, is_terminal FROM ph",
+        "phrase_preorder": f"WITH {_PHRASES} SELECT phrase_id, doc_id, {_PREORDER} AS preorder FROM w",
+        "phrase_trie_listing": f"WITH {_PHRASES} SELECT doc_id, {_PREORDER} AS preorder, phrase_id, parent_id, symbol, length(ptext)::BIGINT AS depth FROM ph",
+        "phrase_doc_array": f"WITH {_PHRASES} SELECT {_PREORDER} AS preorder, doc_id, phrase_id FROM w",
+        "phrase_lookup_exact": f"WITH {_PHRASES} SELECT phrase_id, doc_id FROM w WHERE ptext = 'en'",
+        "phrases_ending_with": f"WITH {_PHRASES} SELECT phrase_id, doc_id FROM w WHERE ptext LIKE '%on'",
+        "reverse_phrases": f"WITH {_PHRASES} SELECT doc_id, phrase_id, reverse(ptext) AS rtext FROM w WHERE NOT is_terminal",
+        "adjacent_phrases": f"WITH {_PHRASES} SELECT * FROM (SELECT doc_id, phrase_id, lead(phrase_id) OVER (ORDER BY phrase_id) AS next_id FROM w) WHERE next_id IS NOT NULL",
+        "next_phrase": f"WITH {_PHRASES} SELECT doc_id, phrase_id, lead(phrase_id) OVER (PARTITION BY doc_id ORDER BY phrase_id) AS next_id FROM w",
+        "subtree_size": f"WITH {_PHRASES} SELECT count(*)::BIGINT AS n_phrases FROM w WHERE starts_with(ptext, 'th')",
+        "rightmost_leaf": f"WITH {_PHRASES} SELECT max(p)::BIGINT AS last_preorder FROM (SELECT ptext, {_PREORDER} AS p FROM w) WHERE starts_with(ptext, 'th')",
+        "fictitious_nodes": (
+            f"WITH {_PHRASES}, z AS (SELECT DISTINCT reverse(ptext) AS r FROM w WHERE NOT is_terminal), n AS (SELECT DISTINCT left(r, unnest(range(1, length(r) + 1))) AS r FROM z), "
+            "t AS (SELECT r, r NOT IN (SELECT r FROM z) AS fict FROM n), "
+            "u AS (SELECT t.r, count(*) AS children, sum(q.fict::INT) AS fictitious FROM t JOIN t q ON left(q.r, length(q.r) - 1) = t.r WHERE t.fict GROUP BY t.r) "
+            "SELECT count(*) FILTER (NOT (children = 1 AND fictitious = 1))::BIGINT AS n_fictitious, count(*) FILTER (children = 1 AND fictitious = 1)::BIGINT AS n_extra FROM u"
+        ),
+        "pattern_phrase_factors": f"WITH {_PHRASES}, q(i, j, ptext) AS (VALUES {factors}) SELECT doc_id, phrase_id, i, j FROM w JOIN q USING (ptext)",
+        "grid_points": f"WITH {_PHRASES}, {_GRID} SELECT * FROM x",
+        "grid_range": f"WITH {_PHRASES}, {_GRID} SELECT * FROM x WHERE rev_rank BETWEEN {BOX[0]} AND {BOX[1]} AND next_preorder BETWEEN {BOX[2]} AND {BOX[3]}",
+        "range_report": f"WITH {_PHRASES} SELECT a.doc_id, a.phrase_id, b.phrase_id AS next_id FROM w a JOIN w b ON b.phrase_id = a.phrase_id + 1 AND a.doc_id = b.doc_id WHERE a.ptext LIKE '%t' AND b.ptext LIKE 'h%'",
+        "range_exists_semi": f"WITH {_PHRASES} SELECT phrase_id, doc_id FROM w WHERE EXISTS (SELECT 1 FROM w q WHERE q.phrase_id + 1 = w.phrase_id AND q.doc_id = w.doc_id AND q.ptext LIKE '%th')",
+        "phrase_to_document": f"WITH {_PHRASES} SELECT phrase_id, doc_id FROM w WHERE ptext LIKE '%on'",
+        "occ_type1": of_type(COMMON, 1),
+        "occ_type2": of_type(COMMON, 2),
+        "occ_type3": of_type(CROSSING, 3),
+        "occurrence_types": f"WITH {_PHRASES}, {_typed(COMMON)} SELECT doc_id, occ_type::BIGINT AS occ_type, count(*)::BIGINT AS occ FROM b GROUP BY 1, 2",
+        "build_phrase_lists": (
+            f"WITH {_PHRASES}, {frequent} SELECT pattern, rank, doc_id, tf FROM (SELECT f.*, cap, row_number() OVER (PARTITION BY pattern ORDER BY tf DESC, doc_length DESC, doc_id) AS rank FROM f JOIN b USING (pattern)) WHERE rank <= cap"
+        ),
+        "index_totals": (
+            f"WITH {_PHRASES}, {frequent} SELECT n_docs, n, {ITEM_G}::BIGINT AS g, n_nodes, n_lists, n_lists * 1000 // n_nodes AS marked_permille "
+            "FROM (SELECT (SELECT count(*) FROM c) AS n_docs, (SELECT sum(doc_length + 1)::BIGINT FROM c) AS n, (SELECT count(*) + 1 FROM w) AS n_nodes, (SELECT count(*) FROM b) AS n_lists)"
+        ),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     starts = "o AS (SELECT doc_id, a, coalesce(sum(len(a) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS doc_start FROM c)"
     bigrams = [(i, x + y, 3) for i, (x, y) in enumerate((x, y) for x in LETTERS for y in LETTERS)]
     names = ", ".join(f"({i}::BIGINT, {_literal(p)})" for i, p, _ in bigrams)
-    return {
+    draw = lambda width, of: f"('0x' || left(md5({of}), {width}))::BIGINT"
+    return _phrase_sql() | {
         "scan_documents": "SELECT doc_id, text, strlen(text)::BIGINT AS doc_length FROM documents",
         "doc_numbering": "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS doc_no FROM documents",
         "doc_length": "SELECT doc_id, strlen(text)::BIGINT AS doc_length FROM documents",
@@ -386,6 +556,24 @@ def oracle_sql() -> dict[str, str]:
             "g AS (SELECT *, sum(CASE WHEN i > 1 AND part = '' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY i) AS n FROM u) "
             "SELECT conv_id, (n - 1)::BIGINT AS doc_no, md5(string_agg(CASE WHEN i > 1 AND part = '' THEN (CASE WHEN i = last THEN '' ELSE chr(10) END) ELSE part END, '' ORDER BY i)) AS digest FROM g GROUP BY conv_id, n"
         ),
+        "read_file_list": f"SELECT (row_number() OVER (ORDER BY item_id) - 1)::BIGINT AS doc_id, md5({_LIST_MODE}) AS digest, (strlen(text) + 1)::BIGINT AS doc_length FROM benchmark WHERE strlen(text) > 0",
+        "read_single_file": (
+            "WITH f AS (SELECT string_split(string_agg(coalesce(text, ''), 'l' ORDER BY item_id), 'l') AS s FROM benchmark), "
+            "u AS (SELECT len(s) AS last, unnest(s) AS part, generate_subscripts(s, 1) AS i FROM f), "
+            "g AS (SELECT *, sum(CASE WHEN i > 1 AND part = '' THEN 0 ELSE 1 END) OVER (ORDER BY i) AS n FROM u), "
+            "t AS (SELECT n, string_agg(CASE WHEN i > 1 AND part = '' THEN (CASE WHEN i = last THEN '' ELSE chr(10) END) ELSE part END, '' ORDER BY i) AS text FROM g GROUP BY n) "
+            "SELECT (n - 1)::BIGINT AS doc_id, md5(text) AS digest, strlen(text)::BIGINT AS doc_length FROM t"
+        ),
+        "read_settings": "SELECT 16::BIGINT AS g, '/a/b' AS input_file, 1::BIGINT AS files_in_list, '/c' AS store, '/d' AS results, 0::BIGINT AS lowercase, chr(10) AS delimiter, 1::BIGINT AS patterns_from_file, 7::BIGINT AS repetitions, 12::BIGINT AS max_pattern, 1::BIGINT AS test",
+        "result_rows": f"SELECT m::DOUBLE AS m, k::BIGINT AS k, {G}::BIGINT AS g, 40.5::DOUBLE AS bpc, us::DOUBLE AS us FROM (VALUES (6, 12.5), (10, 8.25)) a(m, us), (VALUES (10), (100)) b(k)",
+        "substring_slice": "SELECT doc_id, substr(text, 6, 8) AS slice FROM documents WHERE length(text) >= 13",
+        "sample_patterns": (
+            "WITH l AS (SELECT doc_id, text, length(text) - 6 AS room FROM documents WHERE length(text) > 6), t AS (SELECT sum(room) AS total FROM l), "
+            "e AS (SELECT doc_id, text, room, unnest(range(1, ceil(room * 400 / greatest(total, 400))::BIGINT + 1)) AS draw FROM l, t), "
+            f"p AS (SELECT doc_id, text, ({draw(8, "concat_ws(':', doc_id, draw, 1)")}) % room AS pos, {draw(12, "concat_ws(':', draw, doc_id, 2)")} AS h FROM e), "
+            "q AS (SELECT doc_id, pos, substr(text, pos + 1, 6) AS pattern, h FROM p) "
+            "SELECT doc_id, pos, pattern FROM q WHERE NOT contains(pattern, chr(1)) AND len(list_distinct(string_split(pattern, ''))) > 1 ORDER BY h, doc_id, pos LIMIT 100"
+        ),
         "patterns_from_lines": f"SELECT pattern FROM ({_LINES}) WHERE strlen(pattern) BETWEEN 3 AND 99",
         "patterns_max_one_space": f"SELECT pattern FROM ({_LINES}) WHERE strlen(pattern) BETWEEN 3 AND 99 AND len(regexp_extract_all(pattern, '\\s')) <= 1",
         "symbol_histogram": _SYMBOLS,
@@ -418,6 +606,7 @@ def oracle_sql() -> dict[str, str]:
         "topk_cache_misses": f"WITH {_GRAMS}, {_LISTED} SELECT * FROM q WHERE pattern_id NOT IN ({_HITS})",
         "topk_routed": f"WITH {_CHARS}, {_ranked(LISTED)} SELECT pattern_id, rank, doc_id, tf, doc_length FROM r WHERE rank <= k",
         "topk_after_reload": f"WITH {_CHARS}, {_ranked(LISTED)} SELECT pattern_id, rank, doc_id, tf, doc_length FROM r WHERE rank <= k",
+        "topk_indexed": f"WITH {_CHARS}, {_ranked(BATCH)} SELECT pattern_id, rank, doc_id, tf, doc_length FROM r WHERE rank <= k",
         "topk_streamed": f"WITH {_CHARS}, {_ranked(BATCH)} SELECT pattern_id, rank, doc_id, tf, doc_length FROM r WHERE rank <= k",
         "lz78_parse_stats": "SELECT doc_id, (length(text) + 1)::BIGINT AS n_symbols FROM documents",
         "occ_all_types": f"WITH {_CHARS} SELECT doc_id, tf FROM ({_tf(CROSSING)}) WHERE tf > 0",

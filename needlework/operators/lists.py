@@ -7,19 +7,26 @@ answers every k; another one answers up to its length.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from needlework.functions.text import grams, list_budget
+from needlework.sources.shared import small_side, staged
 
 from .occurrence import tf_batch
-from .topk import rank_within, ranking
+from .topk import first_k, rank_within, ranking
+
+LISTS = "pattern string, occ long, n_docs long, is_complete boolean, k_star long, docs array<struct<rank:int,doc_id:long,tf:long,doc_length:long>>"
 
 
-def gram_frequencies(corpus: DataFrame, m: int) -> DataFrame:
-    """(pattern, doc_id, doc_length, tf) of all substrings of m characters."""
-    each = corpus.select("doc_id", "doc_length", F.explode(grams(F.col("text"), m)).alias("pattern"))
+def gram_frequencies(corpus: DataFrame, m: int, wanted: DataFrame | None = None) -> DataFrame:
+    """(pattern, doc_id, doc_length, tf) of all substrings of m characters, or of those in ``wanted`` (pattern)."""
+    each = corpus.where(F.char_length("text") >= m).select("doc_id", "doc_length", F.explode(grams(F.col("text"), m)).alias("pattern"))
+    if wanted is not None:
+        each = each.join(small_side(wanted.select("pattern")), "pattern", "left_semi")
     return each.groupBy("pattern", "doc_id", "doc_length").agg(F.count("*").alias("tf"))
 
 
@@ -29,7 +36,7 @@ def frequent_patterns(frequencies: DataFrame, g: int) -> DataFrame:
 
 
 def budgets(frequent: DataFrame, g: int, n_docs: int) -> DataFrame:
-    """(pattern, occ, n_docs, k_star, is_complete)."""
+    """(pattern, occ, n_docs, is_complete, k_star)."""
     k = list_budget(F.col("occ"), g, F.lit(n_docs).cast("long"))
     return frequent.withColumn("is_complete", F.col("n_docs") <= k).withColumn("k_star", F.when(F.col("is_complete"), F.col("n_docs")).otherwise(k))
 
@@ -37,43 +44,45 @@ def budgets(frequent: DataFrame, g: int, n_docs: int) -> DataFrame:
 def listed(frequencies: DataFrame, frequent: DataFrame) -> DataFrame:
     """(pattern, rank, doc_id, tf, doc_length): the first k_star documents of each pattern."""
     w = Window.partitionBy("pattern").orderBy(*ranking())
-    rows = frequencies.join(frequent.select("pattern", "k_star"), "pattern")
+    rows = frequencies.join(small_side(frequent.select("pattern", "k_star")), "pattern")
     return rows.withColumn("rank", F.row_number().over(w)).where("rank <= k_star").select("pattern", "rank", "doc_id", "tf", "doc_length")
 
 
 def packed(rows: DataFrame, frequent: DataFrame) -> DataFrame:
     """topk_lists: a row for each pattern with its documents as an array in order; arrays hold k_star documents at most."""
     one = rows.groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "tf", "doc_length"))).alias("docs"))
-    return frequent.join(one, "pattern")
+    return frequent.join(one, "pattern").select("pattern", "occ", "n_docs", "is_complete", "k_star", "docs")
+
+
+def _stored(found: DataFrame, g: int, n_docs: int) -> tuple[DataFrame, DataFrame]:
+    """(frequent patterns, their topk_lists) of staged frequencies, which are counted once and read twice."""
+    frequent = staged(budgets(frequent_patterns(found, g), g, n_docs), "frequent")
+    return frequent, packed(listed(found, frequent), frequent)
 
 
 def build_gram_lists(corpus: DataFrame, m: int, g: int, n_docs: int) -> DataFrame:
     """topk_lists of all frequent substrings of m characters."""
-    found = gram_frequencies(corpus, m)
-    frequent = budgets(frequent_patterns(found, g), g, n_docs)
-    return packed(listed(found, frequent), frequent)
+    return _stored(staged(gram_frequencies(corpus, m), "gram_frequencies"), g, n_docs)[1]
 
 
-def build_phrase_lists(corpus: DataFrame, phrases: DataFrame, g: int, n_docs: int, longest: int = 64) -> DataFrame:
-    """topk_lists of all phrase strings that occur more than g times.
+def build_phrase_lists(corpus: DataFrame, phrases: DataFrame, g: int, n_docs: int) -> DataFrame:
+    """topk_lists of all phrase strings, of whatever length, that occur more than g times.
 
     Level by level of length: a string that occurs more than g times has a prefix that does, and phrase strings are closed
-    under prefixes, so a level looks only at places where the level before survived, and ends when none is left.
+    under prefixes. So a level asks only for phrase strings whose prefix survived the level before, and only their places are
+    counted; the last level is the one without a survivor. Every level is staged, and its lists are built from its counts.
     """
-    strings = phrases.where("not is_terminal").select(F.col("ptext").alias("pattern")).distinct()
-    out, known = None, None
-    for m in range(1, longest + 1):
+    spark = corpus.sparkSession
+    strings = staged(phrases.where("not is_terminal").select(F.col("ptext").alias("pattern")).distinct(), "phrase_strings")
+    out, known, m = spark.createDataFrame([], LISTS), None, 1
+    while True:
         wanted = strings.where(F.char_length("pattern") == m)
         if known is not None:
-            wanted = wanted.join(known.select(F.col("pattern").alias("shorter")), F.left("pattern", F.lit(m - 1)) == F.col("shorter"), "left_semi")
-        found = gram_frequencies(corpus, m).join(wanted, "pattern", "left_semi")
-        frequent = budgets(frequent_patterns(found, g), g, n_docs).checkpoint() if corpus.sparkSession.sparkContext.getCheckpointDir() else budgets(frequent_patterns(found, g), g, n_docs).cache()
-        if not frequent.limit(1).count():
-            break
-        known = frequent
-        level = packed(listed(found, frequent), frequent)
-        out = level if out is None else out.unionByName(level)
-    return out
+            wanted = wanted.join(small_side(known.select(F.col("pattern").alias("shorter"))), F.left("pattern", F.lit(m - 1)) == F.col("shorter"), "left_semi")
+        known, level = _stored(staged(gram_frequencies(corpus, m, staged(wanted, "wanted")), "level_frequencies"), g, n_docs)
+        if not known.limit(1).count():
+            return out
+        out, m = out.unionByName(level), m + 1
 
 
 def answerable(patterns: DataFrame, lists: DataFrame) -> DataFrame:
@@ -94,8 +103,8 @@ def misses(patterns: DataFrame, lists: DataFrame) -> DataFrame:
     return patterns.join(hits, "pattern_id", "left_anti")
 
 
-def routed_topk(corpus: DataFrame, patterns: DataFrame, lists: DataFrame, k_max: int) -> DataFrame:
-    """Top-k of all patterns: from lists where they answer, by search otherwise; both give the same rows."""
-    rest = misses(patterns, lists).cache()
-    searched = rank_within(tf_batch(corpus, rest), ["pattern_id"], k_max).join(F.broadcast(rest.select("pattern_id", "k")), "pattern_id").where("rank <= k")
-    return from_lists(patterns, lists).unionByName(searched.select("pattern_id", "rank", "doc_id", "tf", "doc_length"))
+def routed_topk(corpus: DataFrame, patterns: DataFrame, lists: DataFrame, k_max: int, search: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Top-k of all patterns: from lists where they answer, by ``search`` (a scan if not given) otherwise; both give the same rows."""
+    rest = staged(misses(patterns, lists), "misses")
+    searched = rank_within((search or (lambda asked: tf_batch(corpus, asked)))(rest), ["pattern_id"], k_max)
+    return from_lists(patterns, lists).unionByName(first_k(searched, rest))

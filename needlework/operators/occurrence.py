@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from needlework.functions.text import SEPARATOR, check_pattern, has, occurrences
+from needlework.sources.shared import shared_folder
 
 #: Above so many patterns one automaton pass over the texts replaces a pass for each pattern.
 SCAN_PATTERNS = 64
@@ -68,7 +69,6 @@ def tf_automaton(corpus: DataFrame, patterns: DataFrame) -> DataFrame:
     """As :func:`tf_scan` for many patterns: an automaton finds all of them in one pass over each text, block by block."""
     spark = corpus.sparkSession
     out = T.StructType([T.StructField("pattern_id", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("doc_length", T.LongType()), T.StructField("tf", T.LongType())])
-    blocks, block = [], []
 
     def scan(words: list[tuple[int, str]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(words)
@@ -95,18 +95,19 @@ def tf_automaton(corpus: DataFrame, patterns: DataFrame) -> DataFrame:
 
         return corpus.select("doc_id", "doc_length", "text").mapInArrow(run, out)
 
-    for r in patterns.select("pattern_id", "pattern").toLocalIterator():
-        if r.pattern and SEPARATOR not in r.pattern:
-            block.append((r.pattern_id, r.pattern))
-        if len(block) == PATTERN_BLOCK:
-            blocks.append(scan(block))
-            block = []
-    if block or not blocks:
-        blocks.append(scan(block) if block else spark.createDataFrame([], out))
-    found = blocks[0]
-    for other in blocks[1:]:
-        found = found.unionByName(other)
-    return found
+    usable = patterns.where((F.length("pattern") > 0) & ~F.contains("pattern", F.lit(SEPARATOR))).select("pattern_id", "pattern")
+    blocks = -(-usable.count() // PATTERN_BLOCK)
+    if not blocks:
+        return spark.createDataFrame([], out)
+    # a block at a time is on the driver, about PATTERN_BLOCK patterns; of several, each is searched for before the next is read
+    dealt = usable.withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(blocks)))
+    words = lambda k: [(r.pattern_id, r.pattern) for r in dealt.where(F.col("block") == k).select("pattern_id", "pattern").toLocalIterator()]
+    if blocks == 1:
+        return scan(words(0))
+    path = shared_folder(spark, "frequencies")
+    for k in range(blocks):
+        scan(words(k)).write.parquet(f"{path}/block={k}")
+    return spark.read.schema(out).parquet(*[f"{path}/block={k}" for k in range(blocks)])
 
 
 def tf_batch(corpus: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 """LZ78 phrases and what they tell about occurrences.
 
-The default parse begins a new dictionary with every document, so documents are parsed side by side and phrase tables grow
-with the data only. ``scope="collection"`` keeps one dictionary over all documents, which is sequential by nature; it is
-there for comparison, and no query depends on it: frequencies and rankings are the same under either parse.
+Two scopes. ``collection`` keeps one dictionary over all documents in order of their ids: phrase ids count from 1 through the
+whole collection, and preorders, neighbours and subtrees are those of one trie. It is sequential by nature, so the parse is
+one task. ``document`` begins a new dictionary with every document: documents are parsed side by side, phrase ids count from
+1 in each, and a phrase is known by (doc_id, phrase_id). Frequencies and rankings are the same under either scope, which is
+why nothing else in the engine depends on the parse.
 
-A document ends with a terminal phrase, whose string ends with the separator. Phrase ids rise in text order; under the
-default scope they are doc_id * 2^32 plus the place of the phrase in its document.
+A document ends with a terminal phrase, whose string ends with the separator. Documents without an id have no phrases.
 """
 
 from __future__ import annotations
@@ -18,57 +19,71 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from needlework.functions.text import SEPARATOR, check_pattern, occurrences
+from needlework.sources.collections import numbered
+from needlework.sources.shared import small_side
 
 PHRASES = "phrase_id long, parent_id long, symbol string, doc_id long, start_pos long, ptext string, is_terminal boolean"
-
-
-def _cut(text: str, known: dict[str, int], first_id: int, numbered: int) -> tuple[list[tuple], int]:
-    """Greedy longest known phrase plus one symbol; the end of the text takes the separator as its symbol."""
-    out, at, n = [], 0, numbered
-    whole = text + SEPARATOR
-    while at < len(whole):
-        end, parent = at, None
-        while end < len(whole) - 1 and (found := known.get(whole[at : end + 1])) is not None:
-            parent, end = found, end + 1
-        phrase = whole[at : end + 1]
-        terminal = end == len(whole) - 1
-        if not terminal:
-            known[phrase] = first_id + n
-        out.append((first_id + n, parent, phrase[-1], at, phrase, terminal))
-        at, n = end + 1, n + 1
-    return out, n
+SCOPES = ("document", "collection")
+
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+_NAMES = [column.split()[0] for column in PHRASES.split(", ")]
+
+
+class _Parser:
+    """A dictionary as edges: (phrase, symbol) in one number leads to the phrase that is longer by that symbol."""
+
+    def __init__(self) -> None:
+        self.edges: dict[int, int] = {}
+        self.count = 0
+
+    def cut(self, text: str) -> Iterator[tuple[int, int | None, str, int, str, bool]]:
+        """Longest known phrase plus one symbol, again and again; the end of the text takes the separator as its symbol."""
+        edges, start, node = self.edges, 0, 0
+        for at, symbol in enumerate(text):
+            edge = node << 21 | ord(symbol)
+            after = edges.get(edge)
+            if after is not None:
+                node = after
+                continue
+            self.count += 1
+            edges[edge] = self.count
+            yield self.count, node or None, symbol, start, text[start : at + 1], False
+            start, node = at + 1, 0
+        self.count += 1
+        yield self.count, node or None, SEPARATOR, start, text[start:] + SEPARATOR, True
+
+
+def _within(scope: str) -> list[str]:
+    """The columns inside which phrase ids, ranks and neighbours live."""
+    if scope not in SCOPES:
+        raise ValueError("scope is document or collection")
+    return [] if scope == "collection" else ["doc_id"]
 
 
 def lz78_phrases(corpus: DataFrame, scope: str = "document") -> DataFrame:
     """The phrase table of a corpus; the root has no row, and phrases right below it have no parent_id."""
-    if scope not in ("document", "collection"):
-        raise ValueError("scope is document or collection")
-    one = scope == "collection"
+    one = not _within(scope)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared: dict[str, int] = {}
-        n = 0
+        parser = _Parser()
+        rows: list[tuple] = []
         for b in batches:
-            rows: list[tuple] = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if one:
-                    found, n = _cut(text, shared, 1, n)
-                else:
-                    found, _ = _cut(text, {}, (doc << 32) + 1, 0)
-                rows += [(i, p, s, doc, at, t, end) for i, p, s, at, t, end in found]
-                if len(rows) > 50_000:
-                    yield _batch(rows)
-                    rows = []
-            yield _batch(rows)
-
-    source = corpus.where("text is not null").select("doc_id", "text")
+                if not one:
+                    parser = _Parser()
+                for i, parent, symbol, at, phrase, end in parser.cut(text):
+                    rows.append((i, parent, symbol, doc, at, phrase, end))
+                    if len(rows) == 50_000:  # a long document fills many batches
+                        yield _batch(rows)
+                        rows = []
+        yield _batch(rows)
+
+    source = corpus.where("text is not null and doc_id is not null").select("doc_id", "text")
     return (source.coalesce(1).sortWithinPartitions("doc_id") if one else source).mapInArrow(parse, PHRASES)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-    names = ["phrase_id", "parent_id", "symbol", "doc_id", "start_pos", "ptext", "is_terminal"]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], _NAMES)
 
 
 def by_place() -> Window:
@@ -80,29 +95,36 @@ def parse_stats(phrases: DataFrame) -> DataFrame:
     return phrases.groupBy("doc_id").agg(F.sum(F.char_length("ptext")).cast("long").alias("n_symbols"))
 
 
-def preorder(phrases: DataFrame) -> DataFrame:
-    """Rank of every phrase among its document's in preorder of their trie: by bytes, the separator lowest, newest first."""
-    w = Window.partitionBy("doc_id").orderBy("ptext", F.desc("phrase_id"))
-    return phrases.withColumn("preorder", F.row_number().over(w).cast("long"))
+def _ranked(phrases: DataFrame, scope: str, name: str, string: Column) -> DataFrame:
+    """Phrases with ``name``, their rank from 1 by ``string``; of equal ones the newest comes first."""
+    keyed = phrases.withColumn("_string", string)
+    if not _within(scope):  # ranges of the order are numbered side by side
+        return numbered(keyed, F.col("_string"), F.desc("phrase_id"), name=name).withColumn(name, F.col(name) + 1).drop("_string")
+    w = Window.partitionBy(*_within(scope)).orderBy("_string", F.desc("phrase_id"))
+    return keyed.withColumn(name, F.row_number().over(w).cast("long")).drop("_string")
+
+
+def preorder(phrases: DataFrame, scope: str = "document") -> DataFrame:
+    """Rank of every phrase in preorder of the trie: by bytes, the separator lowest, newest first; the root would be 0."""
+    return _ranked(phrases, scope, "preorder", F.col("ptext"))
 
 
-def reverse_order(phrases: DataFrame) -> DataFrame:
-    """Rank of every phrase among its document's by its reversed string."""
-    w = Window.partitionBy("doc_id").orderBy(F.reverse("ptext"), F.desc("phrase_id"))
-    return phrases.withColumn("rev_rank", F.row_number().over(w).cast("long"))
+def reverse_order(phrases: DataFrame, scope: str = "document") -> DataFrame:
+    """Rank of every phrase by its reversed string; terminal ones hang right below the root by their separator."""
+    return _ranked(phrases, scope, "rev_rank", F.when(F.col("is_terminal"), F.lit(SEPARATOR)).otherwise(F.reverse("ptext")))
 
 
-def trie_listing(phrases: DataFrame) -> DataFrame:
-    return preorder(phrases).select("doc_id", "preorder", "phrase_id", "parent_id", "symbol", F.char_length("ptext").cast("long").alias("depth"))
+def trie_listing(phrases: DataFrame, scope: str = "document") -> DataFrame:
+    return preorder(phrases, scope).select("doc_id", "preorder", "phrase_id", "parent_id", "symbol", F.char_length("ptext").cast("long").alias("depth"))
 
 
-def doc_array(phrases: DataFrame) -> DataFrame:
-    """(preorder, doc_id): which document each node of the phrase trie belongs to."""
-    return preorder(phrases).select("preorder", "doc_id", "phrase_id")
+def doc_array(phrases: DataFrame, scope: str = "document") -> DataFrame:
+    """(preorder, doc_id, phrase_id): which document each node of the phrase trie belongs to."""
+    return preorder(phrases, scope).select("preorder", "doc_id", "phrase_id")
 
 
 def reversed_phrases(phrases: DataFrame) -> DataFrame:
-    return phrases.where("not is_terminal").select("phrase_id", F.reverse("ptext").alias("rtext"))
+    return phrases.where("not is_terminal").select("doc_id", "phrase_id", F.reverse("ptext").alias("rtext"))
 
 
 def lookup_exact(phrases: DataFrame, pattern: str) -> DataFrame:
@@ -114,34 +136,67 @@ def ending_with(phrases: DataFrame, pattern: str) -> DataFrame:
     return phrases.where(F.endswith("ptext", F.lit(check_pattern(pattern)))).select("phrase_id", "doc_id")
 
 
-def adjacent(phrases: DataFrame) -> DataFrame:
-    """(phrase_id, next_id) of neighbours in one document, by an equi-join on the running id."""
-    ids = phrases.select("doc_id", "phrase_id")
-    after = ids.select("doc_id", F.col("phrase_id").alias("next_id"), (F.col("phrase_id") - 1).alias("phrase_id"))
-    return ids.join(after, ["doc_id", "phrase_id"])
+def adjacent(phrases: DataFrame, scope: str = "document") -> DataFrame:
+    """(doc_id, phrase_id, next_id) of neighbours, by an equi-join on the running id; in a collection over ends of documents too."""
+    keys = [*_within(scope), "phrase_id"]
+    after = phrases.select(*_within(scope), F.col("phrase_id").alias("next_id"), (F.col("phrase_id") - 1).alias("phrase_id"))
+    return phrases.select("doc_id", "phrase_id").join(after, keys).select("doc_id", "phrase_id", "next_id")
 
 
 def next_phrase(phrases: DataFrame) -> DataFrame:
+    """(doc_id, phrase_id, next_id): the phrase that follows in the document, null behind the last."""
     return phrases.select("doc_id", "phrase_id", F.lead("phrase_id").over(by_place()).alias("next_id"))
 
 
-def subtree_size(phrases: DataFrame, prefix: str) -> DataFrame:
-    """How many of each document's phrases lie below the node of ``prefix``, itself included."""
-    return phrases.where(F.startswith("ptext", F.lit(check_pattern(prefix)))).groupBy("doc_id").agg(F.count("*").alias("n_phrases"))
+def subtree_size(phrases: DataFrame, prefix: str, scope: str = "document") -> DataFrame:
+    """How many phrases lie below the node of ``prefix``, itself included: of each document, or of the collection in one row."""
+    below = phrases.where(F.startswith("ptext", F.lit(check_pattern(prefix))))
+    return below.groupBy(*_within(scope)).agg(F.count("*").alias("n_phrases"))
 
 
-def fictitious_nodes(phrases: DataFrame) -> DataFrame:
-    """Nodes of the trie of reversed phrases that are no phrase themselves, for each document."""
-    real = phrases.where("not is_terminal").select("doc_id", F.reverse("ptext").alias("r")).distinct()
-    nodes = real.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("r")), lambda n: F.left(F.col("r"), n))).alias("r")).distinct()
-    return nodes.join(real, ["doc_id", "r"], "left_anti").groupBy("doc_id").agg(F.count("*").alias("n_fictitious"))
+def rightmost_leaf(phrases: DataFrame, prefix: str, scope: str = "document") -> DataFrame:
+    """The greatest preorder below the node of ``prefix``."""
+    below = preorder(phrases, scope).where(F.startswith("ptext", F.lit(check_pattern(prefix))))
+    return below.groupBy(*_within(scope)).agg(F.max("preorder").alias("last_preorder"))
+
+
+def fictitious_nodes(phrases: DataFrame, scope: str = "document") -> DataFrame:
+    """Nodes of the trie of reversed phrases that are no phrase: those that end a unary path of such nodes, and the extra ones on it.
+
+    A fictitious node is extra if its only child is fictitious too. Phrases are prefixes of no other string than their own
+    reversed extensions, so all nodes are the distinct prefixes of reversed phrases.
+    """
+    within = _within(scope)
+    real = phrases.where("not is_terminal").select(*within, F.reverse("ptext").alias("r")).distinct()
+    prefixes = F.transform(F.sequence(F.lit(1), F.char_length("r")), lambda n: F.left(F.col("r"), n))
+    nodes = real.select(*within, (F.col("r")).alias("whole"), F.explode(prefixes).alias("r"))
+    nodes = nodes.groupBy(*within, "r").agg(F.max((F.col("whole") == F.col("r")).cast("int")).alias("real"))
+    parents = nodes.select(*within, F.left("r", F.char_length("r") - 1).alias("r"), "real").groupBy(*within, "r").agg(F.count("*").alias("children"), F.sum(1 - F.col("real")).alias("fictitious"))
+    unreal = nodes.where("real = 0").join(parents, [*within, "r"])
+    extra = (F.col("children") == 1) & (F.col("fictitious") == 1)
+    return unreal.groupBy(*within).agg(F.count(F.when(~extra, 1)).alias("n_fictitious"), F.count(F.when(extra, 1)).alias("n_extra"))
 
 
 def pattern_factors(phrases: DataFrame, pattern: str) -> DataFrame:
-    """(doc_id, i, j): the substring i..j of the pattern (from 1) is a whole phrase of the document."""
+    """(doc_id, phrase_id, i, j): the substring i..j of the pattern (from 1) is a whole phrase."""
     m = len(check_pattern(pattern))
     parts = phrases.sparkSession.createDataFrame([(i + 1, j, pattern[i:j]) for i in range(m) for j in range(i + 1, m + 1)], "i int, j int, ptext string")
-    return phrases.where("not is_terminal").select("doc_id", "ptext").join(F.broadcast(parts), "ptext").select("doc_id", "i", "j")
+    return phrases.where("not is_terminal").select("doc_id", "phrase_id", "ptext").join(small_side(parts), "ptext").select("doc_id", "phrase_id", "i", "j")
+
+
+def occurrence_counts(phrases: DataFrame, pattern: str) -> DataFrame:
+    """(doc_id, occ1, occ2, occ3): occurrences inside one phrase, across one boundary, across more, in one pass over the phrases."""
+    m = len(check_pattern(pattern))
+    leads = [F.coalesce(F.lead("ptext", i).over(by_place()), F.lit("")) for i in range(1, max(2, m))]
+    inside = F.when(F.contains("ptext", F.lit(pattern)), occurrences(F.col("ptext"), pattern)).otherwise(F.lit(0).cast("long"))
+    wide = phrases.select("doc_id", inside.alias("inside"), "ptext", leads[0].alias("after"), F.concat(*leads).alias("rest"))
+    two, more = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for cut in range(1, m):  # an occurrence begins in a phrase that ends with the head, and what follows begins with the tail
+        head, tail = pattern[:cut], pattern[cut:]
+        hit, reach = F.endswith("ptext", F.lit(head)) & F.startswith("rest", F.lit(tail)), F.char_length("after") >= len(tail)
+        two, more = two + (hit & reach).cast("long"), more + (hit & ~reach).cast("long")
+    each = wide.select("doc_id", F.col("inside").alias("occ1"), two.alias("occ2"), more.alias("occ3")).where("occ1 > 0 or occ2 > 0 or occ3 > 0")
+    return each.groupBy("doc_id").agg(*[F.sum(c).cast("long").alias(c) for c in ("occ1", "occ2", "occ3")])
 
 
 def occ_type1(phrases: DataFrame, pattern: str) -> DataFrame:
@@ -150,40 +205,23 @@ def occ_type1(phrases: DataFrame, pattern: str) -> DataFrame:
     return phrases.where(F.contains("ptext", F.lit(pattern))).groupBy("doc_id").agg(F.sum(inside).cast("long").alias("occ"))
 
 
-def _crossing(phrases: DataFrame, pattern: str, two: Column) -> DataFrame:
-    """Occurrences that begin in a phrase and end later: its end is P[..l], what follows begins with P[l..]."""
-    m = len(check_pattern(pattern))
-    leads = [F.coalesce(F.lead("ptext", i).over(by_place()), F.lit("")) for i in range(1, max(2, m))]
-    wide = phrases.select("doc_id", "ptext", leads[0].alias("after"), F.concat(*leads).alias("rest"))
-    hits = []
-    for cut in range(1, m):
-        head, tail = pattern[:cut], pattern[cut:]
-        reach = F.char_length("after") >= len(tail)
-        hits.append((F.endswith("ptext", F.lit(head)) & F.startswith("rest", F.lit(tail)) & (reach if two else ~reach)).cast("long"))
-    total = hits[0]
-    for h in hits[1:]:
-        total = total + h
-    return wide.select("doc_id", total.alias("occ")).where("occ > 0").groupBy("doc_id").agg(F.sum("occ").cast("long").alias("occ"))
+def _of_type(phrases: DataFrame, pattern: str, column: str) -> DataFrame:
+    return occurrence_counts(phrases, pattern).where(F.col(column) > 0).select("doc_id", F.col(column).alias("occ"))
 
 
 def occ_type2(phrases: DataFrame, pattern: str) -> DataFrame:
     """(doc_id, occ) of occurrences across exactly one phrase boundary."""
-    return _nothing(phrases) if len(check_pattern(pattern)) < 2 else _crossing(phrases, pattern, True)
+    return _of_type(phrases, pattern, "occ2")
 
 
 def occ_type3(phrases: DataFrame, pattern: str) -> DataFrame:
     """(doc_id, occ) of occurrences across two or more phrase boundaries."""
-    return _nothing(phrases) if len(check_pattern(pattern)) < 3 else _crossing(phrases, pattern, False)
-
-
-def _nothing(phrases: DataFrame) -> DataFrame:
-    return phrases.sparkSession.createDataFrame([], "doc_id long, occ long")
+    return _of_type(phrases, pattern, "occ3")
 
 
 def occ_all_types(phrases: DataFrame, pattern: str) -> DataFrame:
     """(doc_id, tf): the three disjoint kinds added up are all occurrences."""
-    parts = occ_type1(phrases, pattern).unionByName(occ_type2(phrases, pattern)).unionByName(occ_type3(phrases, pattern))
-    return parts.groupBy("doc_id").agg(F.sum("occ").cast("long").alias("tf"))
+    return occurrence_counts(phrases, pattern).select("doc_id", (F.col("occ1") + F.col("occ2") + F.col("occ3")).alias("tf"))
 
 
 def occurrence_types(phrases: DataFrame, positions: DataFrame, m: int) -> DataFrame:
@@ -194,19 +232,28 @@ def occurrence_types(phrases: DataFrame, positions: DataFrame, m: int) -> DataFr
     return each.select("doc_id", (F.least(F.col("n"), F.lit(2)) + 1).cast("int").alias("occ_type")).groupBy("doc_id", "occ_type").agg(F.count("*").alias("occ"))
 
 
-def _ranked_pairs(phrases: DataFrame) -> DataFrame:
-    """Points of the grid: a phrase's rank by reversed string, the next phrase's preorder."""
-    both = reverse_order(preorder(phrases))
-    return both.select("doc_id", "phrase_id", "ptext", "rev_rank", F.lead("phrase_id").over(by_place()).alias("next_id"), F.lead("preorder").over(by_place()).alias("next_preorder"), F.lead("ptext").over(by_place()).alias("next_text"))
+def grid(phrases: DataFrame, scope: str = "document") -> DataFrame:
+    """Points of the range structure: (doc_id, phrase_id, rev_rank, next_id, next_preorder) of phrases that another one follows in their document."""
+    keys = ["doc_id", "phrase_id"]
+    ranks = preorder(phrases, scope).select("doc_id", F.col("phrase_id").alias("next_id"), F.col("preorder").alias("next_preorder"))
+    own = reverse_order(phrases, scope).select(*keys, "rev_rank").join(next_phrase(phrases).where("next_id is not null"), keys)
+    return own.join(ranks, ["doc_id", "next_id"]).select(*keys, "rev_rank", "next_id", "next_preorder")
+
+
+def grid_range(points: DataFrame, a: int, b: int, c: int, d: int) -> DataFrame:
+    """The points with rev_rank from a to b and next_preorder from c to d."""
+    return points.where(F.col("rev_rank").between(a, b) & F.col("next_preorder").between(c, d))
 
 
 def range_report(phrases: DataFrame, head: str, tail: str) -> DataFrame:
-    """Points with a phrase ending in ``head`` followed by one beginning with ``tail``, as a range of ranks on either side."""
-    points = _ranked_pairs(phrases)
-    rows = points.where(F.endswith("ptext", F.lit(check_pattern(head)))).groupBy("doc_id").agg(F.min("rev_rank").alias("a"), F.max("rev_rank").alias("b"))
-    cols = preorder(phrases).where(F.startswith("ptext", F.lit(check_pattern(tail)))).groupBy("doc_id").agg(F.min("preorder").alias("c"), F.max("preorder").alias("d"))
-    box = rows.join(cols, "doc_id")
-    return points.join(box, "doc_id").where("rev_rank between a and b and next_preorder between c and d").select("doc_id", "phrase_id", "next_id")
+    """(doc_id, phrase_id, next_id): a phrase that ends in ``head`` followed by one that begins with ``tail``.
+
+    The phrases that end in a string are a range of reverse ranks, and those that begin with one a range of preorders, so this is
+    a box of the grid. Both sides are filtered before they meet, and no ranks are needed.
+    """
+    rows = phrases.where(F.endswith("ptext", F.lit(check_pattern(head)))).select("doc_id", "phrase_id", (F.col("phrase_id") + 1).alias("next_id"))
+    cols = phrases.where(F.startswith("ptext", F.lit(check_pattern(tail)))).select("doc_id", F.col("phrase_id").alias("next_id"))
+    return rows.join(cols, ["doc_id", "next_id"]).select("doc_id", "phrase_id", "next_id")
 
 
 def range_exists(phrases: DataFrame, head: str) -> DataFrame:
@@ -215,9 +262,12 @@ def range_exists(phrases: DataFrame, head: str) -> DataFrame:
     return phrases.join(before, ["doc_id", "phrase_id"], "left_semi").select("phrase_id", "doc_id")
 
 
-def phrase_to_document(phrases: DataFrame, ids: DataFrame) -> DataFrame:
-    """(phrase_id, doc_id): the first document whose last phrase isn't before the given one, as an as-of join on ranges of ids."""
-    ends = phrases.groupBy("doc_id").agg(F.min("phrase_id").alias("lo"), F.max("phrase_id").alias("hi"))
-    # the high half of an id is the document's under the default scope, so the range join is an equi-join first
-    asked = ids.select(F.col("phrase_id"), F.shiftright("phrase_id", 32).alias("doc_id"))
-    return asked.join(ends, "doc_id").where("phrase_id between lo and hi").select("phrase_id", "doc_id")
+def phrase_to_document(phrases: DataFrame, ids: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """(phrase_id, doc_id): the document whose phrases include the id, under the collection scope, where ids rise through all documents.
+
+    An as-of join on ranges of ids: a document goes to the blocks of ids that it touches, an id to its own, and they meet by equality.
+    """
+    spans = phrases.groupBy("doc_id").agg(F.min("phrase_id").alias("lo"), F.max("phrase_id").alias("hi"))
+    spans = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor(F.col("hi") / block))))
+    asked = ids.select("phrase_id", F.floor(F.col("phrase_id") / block).alias("block"))
+    return asked.join(spans, "block").where("phrase_id between lo and hi").select("phrase_id", "doc_id")

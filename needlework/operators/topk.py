@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from needlework.sources.shared import small_side
+
 from .occurrence import tf_batch, tf_per_document
 
 
@@ -31,4 +33,10 @@ def topk_batch(corpus: DataFrame, patterns: DataFrame, k_max: int) -> DataFrame:
     if patterns.where(F.col("k") > k_max).limit(1).count():
         raise ValueError("a pattern asks for more than k_max documents")
     found = rank_within(tf_batch(corpus, patterns), ["pattern_id"], k_max)
-    return found.join(F.broadcast(patterns.select("pattern_id", "k")), "pattern_id").where("rank <= k").select("pattern_id", "rank", "doc_id", "tf", "doc_length")
+    return first_k(found, patterns)
+
+
+def first_k(ranked: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern_id, rank, doc_id, tf, doc_length) up to each pattern's own k."""
+    wanted = small_side(patterns.select("pattern_id", "k"))
+    return ranked.join(wanted, "pattern_id").where("rank <= k").select("pattern_id", "rank", "doc_id", "tf", "doc_length")

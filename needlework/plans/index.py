@@ -1,4 +1,9 @@
-"""The index as tables: build, save, load, and answer patterns from it."""
+"""The index as tables: build, save, load, and answer patterns from it.
+
+Beside the stored lists an index holds its documents in blocks and, for every substring of ``POSTED`` characters, the blocks
+that have it. A pattern that no list answers is searched for only in the blocks that hold all its substrings, so a rare
+pattern reads a few blocks of a large collection; only shorter patterns read all of them.
+"""
 
 from __future__ import annotations
 
@@ -7,55 +12,108 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needlework.functions.text import check_pattern
+from needlework.functions.text import check_pattern, grams, occurrences
 from needlework.operators import ingest, lists, phrases
-from needlework.operators.topk import topk_documents
+from needlework.operators.topk import ranking
+from needlework.sources.collections import shuffle_partitions
+from needlework.sources.shared import shared_folder, small_side
+
+PARTS = ("corpus", "postings", "phrases", "topk_lists", "meta")
 
-PARTS = ("corpus", "phrases", "topk_lists", "meta")
+#: Characters of a posted substring.
+POSTED = 3
+#: Bytes of text in a block, about.
+BLOCK_BYTES = 64 << 20
 
 
 @dataclass
 class TopkIndex:
-    corpus: DataFrame
+    corpus: DataFrame  # doc_id, text, doc_length; a partition a block
+    postings: DataFrame  # gram, block; sorted by gram
     phrases: DataFrame
     topk_lists: DataFrame
     meta: DataFrame
 
     @classmethod
-    def build(cls, corpus: DataFrame, g: int = 32, gram: int = 4, scope: str = "document") -> TopkIndex:
-        """Tables for a corpus. Lists are kept for frequent substrings of ``gram`` characters."""
+    def build(cls, corpus: DataFrame, path: str | None = None, g: int = 32, gram: int | None = 4, scope: str = "document", block_bytes: int = BLOCK_BYTES) -> TopkIndex:
+        """Write the tables of a corpus below ``path`` (a new shared folder, if not given) and load them.
+
+        Lists are kept for frequent substrings of ``gram`` characters, or for frequent phrase strings if it is None.
+        """
         if g < 1:
             raise ValueError("g is at least 1")
+        spark = corpus.sparkSession
+        path = path or shared_folder(spark, "index")
         stats = ingest.corpus_stats(corpus)
-        n_docs = stats.first().n_docs
-        stored = lists.build_gram_lists(corpus, gram, g, n_docs)
-        return cls(corpus, phrases.lz78_phrases(corpus, scope), stored, stats.withColumns({"g": F.lit(g), "gram": F.lit(gram), "scope": F.lit(scope)}))
+        size = stats.first()
+        blocks = max(1, -(-size.n // block_bytes))
+        dealt = corpus.repartitionByRange(blocks, "doc_id").withColumn("block", F.spark_partition_id())
+        dealt.write.mode("overwrite").partitionBy("block").parquet(f"{path}/corpus")
+        saved = _corpus(spark, path)
+        posted = saved.select("block", F.explode(F.array_distinct(grams(F.col("text"), POSTED))).alias("gram")).distinct()
+        posted.repartitionByRange(shuffle_partitions(saved), "gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/postings")
+        phrases.lz78_phrases(saved, scope).write.mode("overwrite").parquet(f"{path}/phrases")
+        known = spark.read.schema(phrases.PHRASES).parquet(f"{path}/phrases")
+        stored = lists.build_phrase_lists(saved, known, g, size.n_docs) if gram is None else lists.build_gram_lists(saved, gram, g, size.n_docs)
+        stored.write.mode("overwrite").parquet(f"{path}/topk_lists")
+        meta = stats.withColumns({"g": F.lit(g), "gram": F.lit(gram).cast("int"), "scope": F.lit(scope), "blocks": F.lit(blocks)})
+        meta.write.mode("overwrite").parquet(f"{path}/meta")
+        return cls.load(spark, path)
 
     def save(self, path: str) -> None:
         for part in PARTS:
-            getattr(self, part).write.mode("overwrite").parquet(f"{path}/{part}")
+            out = getattr(self, part).write.mode("overwrite")
+            (out.partitionBy("block") if part == "corpus" else out).parquet(f"{path}/{part}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TopkIndex:
-        return cls(*(spark.read.parquet(f"{path}/{part}") for part in PARTS))
+        return cls(_corpus(spark, path), *(spark.read.parquet(f"{path}/{part}") for part in PARTS[1:]))
+
+    def totals(self) -> DataFrame:
+        """One row: documents, phrases with the root, stored lists, and their share of the nodes in thousandths."""
+        counted = lambda df, name: df.agg(F.count("*").alias(name))
+        one = self.meta.select("n_docs", "n", "g").crossJoin(counted(self.phrases, "p")).crossJoin(counted(self.topk_lists, "n_lists"))  # one row each
+        nodes = F.col("p") + 1
+        return one.select("n_docs", "n", F.col("g").cast("long").alias("g"), nodes.alias("n_nodes"), "n_lists", F.floor(F.col("n_lists") * 1000 / nodes).alias("marked_permille"))
+
+    def candidate_blocks(self, patterns: DataFrame) -> DataFrame:
+        """(pattern_id, pattern, block): the blocks that hold every posted substring of a pattern; all blocks for short patterns."""
+        asked = patterns.select("pattern_id", "pattern", F.array_distinct(grams(F.col("pattern"), POSTED)).alias("grams"))
+        long_ones = asked.where(F.size("grams") > 0).select("pattern_id", "pattern", F.size("grams").alias("needed"), F.explode("grams").alias("gram"))
+        met = self.postings.join(small_side(long_ones), "gram")
+        held = met.groupBy("pattern_id", "pattern", "needed", "block").agg(F.count("*").alias("n")).where("n = needed").select("pattern_id", "pattern", "block")
+        blocks = self.corpus.select("block").distinct()
+        short = asked.where((F.size("grams") == 0) & (F.length("pattern") > 0)).select("pattern_id", "pattern")
+        return held.unionByName(short.crossJoin(blocks).select("pattern_id", "pattern", "block"))  # what short patterns have to read
+
+    def search(self, patterns: DataFrame) -> DataFrame:
+        """(pattern_id, doc_id, doc_length, tf) from the candidate blocks of each pattern; other blocks aren't read."""
+        wanted = self.candidate_blocks(patterns)
+        rows = self.corpus.join(small_side(wanted), "block").where(F.contains("text", F.col("pattern")))
+        return rows.select("pattern_id", "doc_id", "doc_length", occurrences(F.col("text"), F.col("pattern")).alias("tf")).where("tf > 0")
 
     def topk(self, pattern: str, k: int) -> DataFrame:
         """(doc_id, tf, doc_length) in order: from a stored list if one answers, by search otherwise."""
         check_pattern(pattern)
+        spark = self.corpus.sparkSession
         stored = self.topk_lists.where(F.col("pattern") == pattern).select("docs", "is_complete").first()
         if stored and (stored.is_complete or len(stored.docs) >= k):
             rows = [(d.rank, d.doc_id, d.tf, d.doc_length) for d in stored.docs[:k]]
             schema = "rank int, doc_id long, tf long, doc_length long"
-            return self.corpus.sparkSession.createDataFrame(rows, schema).orderBy("rank").drop("rank")
-        return topk_documents(self.corpus, pattern, k)
+            return spark.createDataFrame(rows, schema).orderBy("rank").drop("rank")
+        asked = spark.createDataFrame([(0, pattern)], "pattern_id long, pattern string")
+        return self.search(asked).select("doc_id", "tf", "doc_length").orderBy(*ranking()).limit(k)
 
     def topk_batch(self, patterns: DataFrame, k_max: int) -> DataFrame:
-        return lists.routed_topk(self.corpus, patterns, self.topk_lists, k_max)
+        return lists.routed_topk(self.corpus, patterns, self.topk_lists, k_max, self.search)
 
     def bits_per_character(self, path: str) -> float:
         """Bytes of the saved index times 8 over the characters of the corpus with separators."""
         spark = self.corpus.sparkSession
-        jvm = spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
         size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
         return size * 8 / self.meta.first().n
+
+
+def _corpus(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("doc_id long, text string, doc_length long, block int").parquet(f"{path}/corpus")

@@ -8,11 +8,10 @@ of them. A batch that is run again overwrites its own folder, so nothing counts
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from needlework.operators.occurrence import tf_batch
-from needlework.operators.topk import rank_within
+from needlework.operators.topk import first_k, rank_within
 from needlework.sources.collections import corpus
 
 FREQUENCIES = "pattern_id long, doc_id long, doc_length long, tf long, batch long"
@@ -30,5 +29,4 @@ def watch(stream: DataFrame, patterns: DataFrame, path: str, checkpoint: str) ->
 def standing(spark: SparkSession, patterns: DataFrame, path: str, k_max: int) -> DataFrame:
     """The ranking over all that has arrived: (pattern_id, rank, doc_id, tf, doc_length)."""
     found = spark.read.schema(FREQUENCIES).parquet(path).drop("batch")
-    ranked = rank_within(found, ["pattern_id"], k_max)
-    return ranked.join(F.broadcast(patterns.select("pattern_id", "k")), "pattern_id").where("rank <= k").select("pattern_id", "rank", "doc_id", "tf", "doc_length")
+    return first_k(rank_within(found, ["pattern_id"], k_max), patterns)

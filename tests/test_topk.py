@@ -111,16 +111,18 @@ def test_phrase_lists(spark):
 def test_phrases(spark, random_texts, scope):
     own = docs(spark, random_texts).cache()
     table = phrases.lz78_phrases(own, scope).cache()
-    rows = table.orderBy("phrase_id").collect()
+    rows = table.orderBy("doc_id", "phrase_id").collect()
     spelled = {}
     for x in rows:
         assert x.start_pos == len(spelled.get(x.doc_id, ""))
         spelled[x.doc_id] = spelled.get(x.doc_id, "") + x.ptext
     assert spelled == {i: t + "\x01" for i, t in enumerate(random_texts)}
-    known = {(x.phrase_id): x.ptext for x in rows}
+    trie = lambda x: x.doc_id if scope == "document" else None
+    known = {(trie(x), x.phrase_id): x.ptext for x in rows}
+    assert len(known) == len(rows)
     for x in rows:
         assert x.ptext[-1] == x.symbol
-        assert x.ptext[:-1] == (known[x.parent_id] if x.parent_id is not None else "")
+        assert x.ptext[:-1] == (known[trie(x), x.parent_id] if x.parent_id is not None else "")
     for p in ("a", "ab", "a a", "ba.a", "aa"):
         expected = {i: tf(t, p) for i, t in enumerate(random_texts) if tf(t, p)}
         assert {x.doc_id: x.tf for x in phrases.occ_all_types(table, p).collect()} == expected
@@ -129,26 +131,60 @@ def test_phrases(spark, random_texts, scope):
         assert {(x.doc_id, x.occ_type, x.occ) for x in located.collect()} == {(x.doc_id, kind, x.occ) for kind, f in kinds.items() for x in f(table, p).collect()}
 
 
-def test_phrase_navigation(spark, random_texts):
+@pytest.mark.parametrize("scope", ["document", "collection"])
+def test_phrase_navigation(spark, random_texts, scope):
     own = docs(spark, random_texts)
-    table = phrases.lz78_phrases(own).cache()
-    rows = table.orderBy("phrase_id").collect()
-    pairs = {(a.phrase_id, b.phrase_id) for a, b in zip(rows, rows[1:], strict=False) if a.doc_id == b.doc_id}
-    assert {(x.phrase_id, x.next_id) for x in phrases.adjacent(table).collect()} == pairs
-    assert {(x.phrase_id, x.next_id) for x in phrases.next_phrase(table).collect() if x.next_id} == pairs
-    text = {x.phrase_id: x.ptext for x in rows}
-    assert {(x.phrase_id, x.next_id) for x in phrases.range_report(table, "a", "b").collect()} == {(a, b) for a, b in pairs if text[a].endswith("a") and text[b].startswith("b")}
-    assert {x.phrase_id for x in phrases.range_exists(table, "a").collect()} == {b for a, b in pairs if text[a].endswith("a")}
-    asked = table.select("phrase_id")
-    assert {(x.phrase_id, x.doc_id) for x in phrases.phrase_to_document(table, asked).collect()} == {(x.phrase_id, x.doc_id) for x in rows}
-    for x in phrases.preorder(table).groupBy("doc_id").agg(F.max("preorder").alias("hi"), F.count("*").alias("n")).collect():
-        assert x.hi == x.n
-    one = [x.ptext for x in rows if x.doc_id == 3 and not x.is_terminal]
-    suffixes = {p[i:] for p in one for i in range(len(p))}
-    found = {x.doc_id: x.n_fictitious for x in phrases.fictitious_nodes(table).collect()}
-    assert found.get(3, 0) == len(suffixes - set(one))
-    factors = {(x.doc_id, x.i, x.j) for x in phrases.pattern_factors(table, "aba").collect()}
-    assert factors == {(x.doc_id, i + 1, j) for x in rows if not x.is_terminal for i in range(3) for j in range(i + 1, 4) if "aba"[i:j] == x.ptext}
+    table = phrases.lz78_phrases(own, scope).cache()
+    rows = table.orderBy("doc_id", "phrase_id").collect()
+    trie = lambda x: x.doc_id if scope == "document" else None
+    key = lambda x: (x.doc_id, x.phrase_id)
+    pairs = [(a, b) for a, b in zip(rows, rows[1:], strict=False) if trie(a) == trie(b)]
+    inside = [(a, b) for a, b in pairs if a.doc_id == b.doc_id]
+    assert {(*key(x), x.next_id) for x in phrases.adjacent(table, scope).collect()} == {(*key(a), b.phrase_id) for a, b in pairs}
+    assert {(*key(x), x.next_id) for x in phrases.next_phrase(table).collect() if x.next_id} == {(*key(a), b.phrase_id) for a, b in inside}
+    asked = {(*key(a), b.phrase_id) for a, b in inside if a.ptext.endswith("a") and b.ptext.startswith("b")}
+    assert {(*key(x), x.next_id) for x in phrases.range_report(table, "a", "b").collect()} == asked
+    assert {key(x) for x in phrases.range_exists(table, "a").collect()} == {key(b) for a, b in inside if a.ptext.endswith("a")}
+    # ranks of each trie: gapless, in order of strings, and their boxes report what string tests do
+    for ranked, name, string in ((phrases.preorder, "preorder", lambda x: x.ptext), (phrases.reverse_order, "rev_rank", lambda x: "\x01" if x.is_terminal else x.ptext[::-1])):
+        found = {key(x): getattr(x, name) for x in ranked(table, scope).collect()}
+        for one in {trie(x) for x in rows}:
+            order = sorted((x for x in rows if trie(x) == one), key=lambda x: (string(x), -x.phrase_id))
+            assert [found[key(x)] for x in order] == list(range(1, len(order) + 1))
+    if scope == "collection":
+        head = [x.rev_rank for x in phrases.reverse_order(table, scope).collect() if x.ptext.endswith("a")]
+        tail = [x.preorder for x in phrases.preorder(table, scope).collect() if x.ptext.startswith("b")]
+        box = phrases.grid_range(phrases.grid(table, scope), min(head), max(head), min(tail), max(tail))
+        assert {(*key(x), x.next_id) for x in box.collect()} == asked
+        assert {x.phrase_id: x.doc_id for x in phrases.phrase_to_document(table, table.select("phrase_id"), 16).collect()} == {x.phrase_id: x.doc_id for x in rows}
+        assert phrases.subtree_size(table, "a", scope).first().n_phrases == sum(x.ptext.startswith("a") for x in rows)
+        assert phrases.doc_array(table, scope).select("preorder").distinct().count() == len(rows)
+    real = {(trie(x), x.ptext) for x in rows if not x.is_terminal}
+    nodes = {(t, p[i:]) for t, p in real for i in range(len(p))}
+    unreal = nodes - real
+    below = {n: [x for x in nodes if x[0] == n[0] and x[1][1:] == n[1]] for n in unreal}
+    extra = {n for n in unreal if len(below[n]) == 1 and below[n][0] in unreal}
+    counted = phrases.fictitious_nodes(table, scope).collect()
+    assert sum(x.n_extra for x in counted) == len(extra) and sum(x.n_fictitious for x in counted) == len(unreal) - len(extra)
+    factors = {(*key(x), x.i, x.j) for x in phrases.pattern_factors(table, "aba").collect()}
+    assert factors == {(*key(x), i + 1, j) for x in rows if not x.is_terminal for i in range(3) for j in range(i + 1, 4) if "aba"[i:j] == x.ptext}
+
+
+def test_types_of_a_collection(spark, sf):
+    """Known numbers of occurrences by type under one dictionary over all documents."""
+    own = src.corpus(src.table(spark, sf, "documents"))
+    table = phrases.lz78_phrases(own, "collection").cache()
+    for p, expected in {"on": (8098, 1706, 0), "the": (4031, 1126, 0), "ata": (133, 77, 0), "tion the": (35, 85, 1)}.items():
+        found = phrases.occurrence_counts(table, p).agg(*[F.sum(c).alias(c) for c in ("occ1", "occ2", "occ3")]).first()
+        assert tuple(found) == expected
+
+
+def test_ids_of_any_size(spark):
+    own = src.corpus(spark.createDataFrame([(None, "ab"), (1 << 40, "abab"), (-5, ""), (7, None)], "doc_id long, text string"))
+    for scope in phrases.SCOPES:
+        found = phrases.lz78_phrases(own, scope).orderBy("doc_id", "phrase_id").collect()
+        assert [(x.doc_id, x.ptext) for x in found] == [(-5, "\x01"), (1 << 40, "a"), (1 << 40, "b"), (1 << 40, "ab"), (1 << 40, "\x01")]
+    assert lists.build_phrase_lists(own.where("false"), phrases.lz78_phrases(own.where("false")), 2, 0).count() == 0
 
 
 def test_positions_and_offsets(spark, random_texts):
@@ -183,17 +219,57 @@ def test_readers(spark, tmp_path):
     assert [r.pattern for r in src.read_patterns(spark, str(tmp_path / "patterns")).collect()] == ["abc", "a b c"]
     assert [r.pattern for r in src.read_patterns(spark, str(tmp_path / "patterns"), most_spaces=1).collect()] == ["abc"]
     (tmp_path / "ini").write_text("[GLOBALS]\nTEST=1\nN_REP=7\n[TOPK]\ng=16\ninputFile=/a/b\nfilesInList=0\nlowercase=1\nboundSymbol=10\ncutDoc=1\n")
-    s = src.Settings.load(str(tmp_path / "ini"))
+    s = src.Settings.load(spark, str(tmp_path / "ini"))
     assert (s.g, s.input_file, s.files_in_list, s.lowercase, s.delimiter, s.repetitions, s.test) == (16, "/a/b", False, True, "\n", 7, True)
 
 
-def test_index_round_trip(spark, random_texts, tmp_path):
+def test_listed_files_are_taken_once_each(spark, tmp_path):
+    names = []
+    for name, body in {"ba.txt": "beta one.", "a.txt": "beta two.", "a[1]{x}*?.txt": "odd name.", "empty": "", "two words": "with blanks."}.items():
+        (tmp_path / name).write_text(body)
+        names.append(str(tmp_path / name))
+    (tmp_path / "list").write_text("\n".join([*names, names[1]]) + "\n\n")
+    found = src.read_file_list(spark, str(tmp_path / "list")).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.text) for r in found] == [(0, "beta one"), (1, "beta two"), (2, "odd name"), (3, "with blanks"), (4, "beta two")]
+    (tmp_path / "none").write_text("")
+    assert src.read_file_list(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("body", ["p##q#!", "##p#q##", "p", "#", "", "a#b#c" * 40 + "##d#"])
+def test_single_files_are_read_in_splits(spark, tmp_path, body):
+    (tmp_path / "one").write_text(body)
+    whole = spark.createDataFrame([(body[:-1],)], "t string").select(F.posexplode(fn.documents_of(F.col("t"), "#"))).collect() if body else []
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32b")
+    try:
+        found = src.read_single_file(spark, str(tmp_path / "one"), "#").orderBy("doc_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.doc_id, r.text) for r in found] == [(r.pos, r.col) for r in whole]
+
+
+def test_numbers_of_many_ranges(spark):
+    rows = spark.range(0, 50_000, 1, 7).select((F.col("id") * 7919 % 50_000).alias("id"), F.lit("x" * 50).alias("other"))
+    found = src.numbered(rows, "id", parts=13)
+    assert found.where("doc_no <> id").count() == 0 and found.count() == 50_000
+
+
+@pytest.mark.parametrize("gram", [2, None])
+def test_index_round_trip(spark, random_texts, tmp_path, gram):
     own = docs(spark, random_texts)
-    TopkIndex.build(own, g=3, gram=2).save(str(tmp_path / "index"))
+    built = TopkIndex.build(own, g=3, gram=gram, block_bytes=200)
+    built.save(str(tmp_path / "index"))
     index = TopkIndex.load(spark, str(tmp_path / "index"))
-    for p in ("a", "ab", "aa", "b.", "zz"):
-        for k in (1, 3, 50):
+    for p in ("a", "ab", "b. a", "zz"):
+        for k in (1, 50):
             assert answer(index.topk(p, k)) == brute(random_texts, p, k)
+    asked = [(0, "a"), (1, random_texts[3][:4]), (2, "zzz"), (3, random_texts[5][2:12])]
+    found = index.search(spark.createDataFrame(asked, "pattern_id long, pattern string")).collect()
+    assert {(x.pattern_id, x.doc_id, x.tf) for x in found} == {(i, d, n) for i, p in asked for d, n in brute(random_texts, p, 99)}
+    blocks = index.candidate_blocks(spark.createDataFrame(asked, "pattern_id long, pattern string")).groupBy("pattern_id").count().collect()
+    every, blocks = index.meta.first().blocks, {x.pattern_id: x["count"] for x in blocks}
+    assert blocks[0] == every > 4 and 2 not in blocks and 0 < blocks[3] < every
+    totals = index.totals().first()
+    assert totals.n_docs == len(random_texts) and totals.n_lists == index.topk_lists.count() and totals.n_nodes == index.phrases.count() + 1
     assert index.bits_per_character(str(tmp_path / "index")) > 0
     assert run_patterns(own, ["ab", "a."], 3).mean_us > 0
 
