@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,7 +42,10 @@ def returns_memory(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator],
 
 
 def text_batches(df: DataFrame) -> DataFrame:
-    """``df``, after lowering the session's Arrow batch size to what long texts allow; a lower setting stays."""
+    """``df``, after lowering the session's Arrow batch size to what long texts allow; a lower setting stays.
+
+    The setting is read when a plan runs, which is after the operators return, so it stays lowered in the session.
+    """
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(_ARROW_KEY)) <= ARROW_ROWS:
         conf.set(_ARROW_KEY, str(ARROW_ROWS))
@@ -48,21 +53,42 @@ def text_batches(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """``spark.checkpoint.dir``. Where it is unset, a folder of our own, on a local master only: elsewhere executors can't see it."""
     global _own_dir
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="needlework-")
+        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
     return f"file://{_own_dir}"
 
 
+#: Folders of the tables that this process staged, in order.
+_staged: list[str] = []
+
+
+def staged_so_far() -> int:
+    return len(_staged)
+
+
+def drop_staged(spark: SparkSession, since: int = 0, but_last: bool = False) -> None:
+    """Delete the tables staged after the first ``since``, but for the last one if so wanted. Frames over them can't be read any more."""
+    kept = _staged[-1:] if but_last and len(_staged) > since else []
+    for path in _staged[since : len(_staged) - len(kept)]:
+        own = spark._jvm.org.apache.hadoop.fs.Path(path)
+        own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+    _staged[since:] = kept
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/needlework/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,13 +13,16 @@ matches at several places, the alignment with the most windows speaks for it. On
 Everything is DataFrame functions. The benchmark's windows are broadcast behind a check of their number, and shuffled
 beyond it; documents are read again only for the rows that hold enough windows.
 
-Defined results: null and empty texts leak nothing; null and empty items, and items of fewer than ``MIN_TOKENS`` tokens, are
-not looked for; items shorter than a window are looked for whole; repeated rows give one row of result, rows without an id
-are told apart by their text; an empty table gives an empty result; other columns are ignored whatever their names.
+Defined results: null and empty texts leak nothing; null and empty items are not looked for; items shorter than a window are
+looked for whole, and those of fewer than ``MIN_TOKENS`` tokens leak only into documents that hold no other token; texts of any
+length are read whole; of alignments, bands and places that are equally good the smallest or an equal one speaks, which changes
+no decision; repeated rows give one row of result, rows without an id are told apart by their text; an empty table gives an
+empty result; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -73,15 +76,21 @@ def _verbatim(found: Column) -> Column:
 def _windows(rows: DataFrame, keys: list[str], sizes: list[int], forms: list[str]) -> DataFrame:
     """(keys, m, pos, window) of every window of each size in ``sizes``; ``forms`` are arrays of hashes, a repeated form counts once."""
 
-    def of(m: int) -> DataFrame:
+    def hashes(m: int) -> Column:
         last = F.size(forms[0]) - m
         hashed = lambda form: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(form, i + 1, m)))
         at = [hashed(form) for form in forms]
         own = [at[0], *(F.when(reduce(Column.__or__, [F.col(form) == F.col(x) for x in forms[:k]]), F.array().cast("array<bigint>")).otherwise(at[k]) for k, form in enumerate(forms) if k)]
-        found = rows.select(*keys, (last + 1).alias("count"), F.posexplode(F.when(last >= 0, F.concat(*own))).alias("pos", "window"))
-        return found.select(*keys, (F.col("pos") % F.col("count")).alias("pos"), "window", F.lit(m).alias("m"))
+        # too short an item is met only by a document of its own length
+        return F.when((last >= 0) if m >= MIN_TOKENS else (last == 0), F.concat(*own)).otherwise(F.array().cast("array<bigint>"))
 
-    return reduce(DataFrame.unionByName, map(of, sizes))
+    if len(sizes) == 1:  # the usual case
+        m = sizes[0]
+        found = rows.select(*keys, (F.size(forms[0]) - m + 1).alias("count"), F.posexplode(hashes(m)).alias("pos", "window"))
+        return found.select(*keys, (F.col("pos") % F.col("count")).alias("pos"), "window", F.lit(m).alias("m"))
+    # one pass over the rows for all sizes
+    told = lambda m: F.transform(hashes(m), lambda w, i: F.struct(F.pmod(i, F.size(forms[0]) - m + 1).alias("pos"), w.alias("window"), F.lit(m).alias("m")))
+    return rows.select(*keys, F.inline(F.concat(*map(told, sizes)))).select(*keys, "pos", "window", "m")
 
 
 def _literals(form: str) -> Column:
@@ -90,8 +99,9 @@ def _literals(form: str) -> Column:
 
 
 def row_key() -> Column:
-    """Tells rows apart by id and text; equal rows are one."""
-    return F.xxhash64("doc_id", "text")
+    """Tells rows apart by id and text, in 128 bits; equal rows are one."""
+    own = F.col("doc_id").cast("string")
+    return F.md5(F.concat_ws(":", F.coalesce(F.char_length(own), F.lit(-1)).cast("string"), F.coalesce(own, F.lit("")), F.col("text")))
 
 
 def _occurrences(met: DataFrame) -> DataFrame:
@@ -114,7 +124,7 @@ def _occurrences(met: DataFrame) -> DataFrame:
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = 0.6, min_consistent: float = 0.8) -> DataFrame:
     """One row for each document and item that it leaks: doc_id, item_id, item_windows, matched_windows, slots, slots_consistent, row_key."""
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("t")).where(F.size("t") >= MIN_TOKENS).withColumn("h", _template(F.col("t"))).distinct()
+    items = benchmark.select("item_id", tokens(F.col("text")).alias("t")).where(F.size("t") > 0).withColumn("h", _template(F.col("t"))).distinct()
     items = stage_table(items, "items")
     sizes = sorted(r.m for r in items.select(F.least(F.size("h"), F.lit(window)).alias("m")).distinct().collect())
     full = items.select("item_id", "h", _nameless(F.col("t")).alias("p"), _verbatim(F.col("t")).alias("v"))
@@ -165,5 +175,6 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = 0.6, min_consistent: float = 0.8) -> DataFrame:
     """``docs`` without the rows that leak any item; all columns stay."""
-    found = stage_table(benchmark_leaks(docs, benchmark, window, min_coverage, min_consistent).select(F.col("row_key").alias("leaked")).distinct(), "leaks")
-    return docs.join(maybe_broadcast(found), row_key() == F.col("leaked"), "left_anti")
+    leaked = f"leaked_{uuid.uuid4().hex}"  # no column of the documents has this name
+    found = stage_table(benchmark_leaks(docs, benchmark, window, min_coverage, min_consistent).select(F.col("row_key").alias(leaked)).distinct(), "leaks")
+    return docs.join(maybe_broadcast(found), row_key() == F.col(leaked), "left_anti")

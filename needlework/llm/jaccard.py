@@ -19,14 +19,16 @@ found for classes of equal sets only, and what is returned is each document's co
    main component meet the sets of other parts.
 
 Defined results: null texts and texts without words have an empty set, no links, and are their own component; texts with
-fewer words than a shingle are one shingle; repeated rows and equal ids are one node; rows without an id take the smallest
-id among equal sets, null if there is none, and link no other sets; other columns are ignored whatever their names; an
-empty table gives an empty result.
+fewer words than a shingle are one shingle; texts of any length give all their shingles; repeated rows and equal ids are one
+node, which has the links of all its texts; rows without an id take the smallest id among equal sets, null if there is none,
+and link no other sets; lists, families and links don't depend on the order of rows; other columns are ignored whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -399,12 +401,8 @@ def _link_groups(rows: DataFrame, part: str, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def jaccard_classes(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, part_sets: int = 4_000, part_shingles: int = 3_000_000) -> tuple[DataFrame, DataFrame]:
-    """Returns (signatures of all rows, components of the classes); see :func:`jaccard_components`."""
-    if not 0 < num <= den or not 1 <= n < 63:
-        raise ValueError("0 < num <= den and 1 <= n < 63 are asked for")
-    spark = docs.sparkSession
-    signed = stage_table(signatures(docs, n, num, den, corpus_order(docs, n)), "signed")
+def jaccard_classes(docs: DataFrame, signed: DataFrame, n: int, num: int, den: int, part_sets: int, part_shingles: int) -> DataFrame:
+    """Components of the classes of equal sets, each known by its smallest id; ``signed`` are the signatures of ``docs``."""
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
     reps = signed.join(classes.withColumnRenamed("rep", "doc_id"), ["fp1", "fp2", "doc_id"])
     entries = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), F.explode(F.arrays_zip("prefix", "long_list")).alias("e"))
@@ -448,7 +446,20 @@ def jaccard_classes(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, pa
         large = large.withColumn("mine", mine).withColumn("cell", F.explode(F.when(F.col("outside"), F.concat(with_main, with_rest)).otherwise(for_main)))
         more = large.join(held, held.node == large.member).select("leader", "cell", "node", "label", "shingles")
         links = links.unionByName(stage_table(_link_groups(more, "cell", num, den), "cross_links"))
-    return signed, connected_components(links)
+    return connected_components(links)
+
+
+def _by_row(docs: DataFrame) -> DataFrame:
+    """Staged ``docs`` with ``row_no``, unique and rising with the id, rows without an id last."""
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text")]
+    placed = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row_no", F.monotonically_increasing_id())
+    return stage_table(placed, "rows")
+
+
+def _several_texts(signed: DataFrame) -> bool:
+    """Has some id different sets?"""
+    sets = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp1").alias("a"), F.max("fp1").alias("b"), F.min("n_shingles").alias("m"), F.max("n_shingles").alias("n"))
+    return bool(sets.where("a <> b or m <> n").limit(1).count())
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, part_sets: int = 4_000, part_shingles: int = 3_000_000) -> DataFrame:
@@ -456,7 +467,31 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10,
 
     ``part_sets`` and ``part_shingles`` bound what one task holds of a family.
     """
-    signed, found = jaccard_classes(docs, n, num, den, part_sets, part_shingles)
+    if not 0 < num <= den or not 1 <= n < 63:
+        raise ValueError("0 < num <= den and 1 <= n < 63 are asked for")
+    order = corpus_order(docs, n)
+    signed = stage_table(signatures(docs, n, num, den, order), "signed")
+    if not _several_texts(signed):
+        return _components_of(docs, signed, n, num, den, part_sets, part_shingles)
+    # every row is a node of its own first; then the rows of one id are tied together
+    rows = _by_row(docs.select("doc_id", "text"))
+    own = rows.select(F.when(F.col("doc_id").isNotNull(), F.col("row_no")).alias("doc_id"), "text")
+    by_row = _components_of(own, stage_table(signatures(own, n, num, den, order), "signed"), n, num, den, part_sets, part_shingles)
+    by_row = stage_table(by_row.select(F.col("doc_id").alias("row_no"), "n_shingles", F.col("component_id").alias("root")), "by_row")
+    unnamed = by_row.where("row_no is null").select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_shingles", "root")
+    found = stage_table(rows.select("row_no", "doc_id").join(by_row, "row_no").select("doc_id", "n_shingles", "root").unionByName(unnamed), "rows_found")
+    first = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("root").alias("first"), F.count("*").alias("k"))
+    ties = join_classes(found.where("doc_id is not null").select("doc_id", "root"), stage_table(first, "first_roots"), ["doc_id"], "k", found.count()).where("root <> first")
+    tied = connected_components(ties.select(F.col("root").alias("a"), F.col("first").alias("b")).distinct())
+    tied = stage_table(found.where("root is not null").select("root").distinct().join(tied.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("root", F.coalesce("top", "root").alias("top")), "tied")
+    tops = found.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).join(tied, "root")
+    ids = tops.groupBy("top").agg(F.min("least").alias("component_id"))
+    classes = stage_table(tops.join(ids, "top").select("root", "k", "component_id"), "root_ids")
+    return join_classes(found, classes, ["root"], "k", found.count(), "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _components_of(docs: DataFrame, signed: DataFrame, n: int, num: int, den: int, part_sets: int, part_shingles: int) -> DataFrame:
+    found = jaccard_classes(docs, signed, n, num, den, part_sets, part_shingles)
     keys = ["fp1", "fp2"]
     full, empty = signed.where("n_shingles > 0").drop("prefix", "long_list", "bitmap"), signed.where("n_shingles = 0")
     classes = full.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
@@ -466,13 +501,19 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10,
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest id. Rows without an id stay."""
-    found = stage_table(jaccard_components(docs, n, num, den), "components")
-    gone = stage_table(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    left = docs.join(maybe_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
-    repeated = stage_table(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if not repeated.limit(1).count():
-        return left
-    repeated = maybe_broadcast(repeated)
-    once = left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    """``docs`` with one row of each group of rows that links connect: that of the smallest id. All columns stay.
+
+    A row is dropped only for a row that stays: equal rows, rows of one id and rows without an id are told apart by their place,
+    so texts that share nothing but an id all stay. Texts without words link with nothing and stay. Ids are whole numbers.
+    """
+    ids = stage_table(docs.select("doc_id"), "ids")
+    whole = isinstance(docs.schema["doc_id"].dataType, T.IntegralType) and not ids.where("doc_id is null").limit(1).count()
+    if whole and not ids.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        found = stage_table(jaccard_components(docs, n, num, den), "components")
+        gone = stage_table(found.where("doc_id <> component_id").select("doc_id"), "gone")
+        return docs.join(maybe_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
+    number = f"row_{uuid.uuid4().hex}"  # no column of the documents has this name
+    rows = _by_row(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("kept"), "doc_id", "text")).withColumnRenamed("row_no", number)
+    found = jaccard_components(rows.select(F.col(number).alias("doc_id"), "text"), n, num, den)
+    gone = stage_table(found.where("doc_id <> component_id").select(F.col("doc_id").alias(number)), "gone")
+    return rows.join(maybe_broadcast(gone), number, "left_anti").select("kept.*")

@@ -2,20 +2,21 @@
 
 Features are word uni-, bi- and trigrams of a paragraph, only those that the trained model knows. A multinomial
 logistic regression tells families apart, with a class for everything else that is trained on negative phrases and on
-paragraphs of the corpus (a bounded sample), and its probabilities are calibrated by a temperature on rows kept from
-training. A prediction counts if its probability reaches ``threshold`` and the paragraph holds enough of the word pairs of
-one of the family's templates. Paragraphs end at blank lines; they and their lines are looked at, long ones in overlapping
-windows around words that licences use.
-
-Defined results: null and empty texts have no licences; rows with equal ids are scanned each on its own; other columns are
-ignored whatever their names; an empty table gives an empty result.
+windows of the corpus (a bounded sample). Its probabilities are calibrated by a temperature on texts that had no part in
+training: in turn, some templates of each family and some negative phrases are left out. So are whole families, which should then
+be unknown; the model reports how it did on either. A prediction counts if its probability reaches ``threshold`` and the paragraph
+holds enough of the word pairs of one of the family's templates. Paragraphs end at blank lines; they and their lines are looked
+at, long ones in overlapping windows around words that licences use.
+
+Defined results: null and empty texts have no licences; texts of any length are scanned whole; of overlapping windows of one
+family as many as fit side by side count, then the most probable, then the shortest; rows with equal ids are scanned each on its
+own; other columns are ignored whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -37,12 +38,15 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "Apache License Version 2.0, January 2004",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, without warranties or conditions of any kind",
         "SPDX-License-Identifier: Apache-2.0",
     ),
     "bsd": (
         "Licensed under the BSD 3-Clause License.",
         "Released under the BSD license.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
     "cc-by": (
@@ -60,21 +64,28 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This work is licensed under the GNU General Public License, version 3.",
         "Licensed under the GNU General Public License version 2 or later.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose.",
+        "You should have received a copy of the GNU General Public License along with this program.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
     "lgpl": (
         "Licensed under the GNU Lesser General Public License, version 2.1.",
         "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
     ),
     "mit": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
         "SPDX-License-Identifier: MIT",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License Version 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at mozilla.org/MPL/2.0/.",
     ),
     "proprietary": (
         "All rights reserved.",
@@ -151,6 +162,7 @@ class LicenseModel:
     temperature: float
     telling: frozenset[str]  # single words that some family weighs
     pairs: dict[str, list[frozenset[str]]]  # word pairs of the templates
+    report: dict[str, float]  # how the calibration went on texts that had no part in training
 
     def probabilities(self, tokens: list[str]) -> np.ndarray:
         at = sorted({self.features[g] for g in grams(tokens) if g in self.features})
@@ -247,71 +259,91 @@ class LicenseModel:
         return [(lo + a, lo + min(b, n)) for a, b in spans if min(b, n) - a >= 2]
 
 
-def _softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 400, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    w, b = np.zeros((x.shape[1], classes)), np.zeros(classes)
-    onehot = np.eye(classes)[y]
+def _softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 300, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    w, b = np.zeros((x.shape[1], classes), np.float32), np.zeros(classes, np.float32)
+    onehot = np.eye(classes, dtype=np.float32)[y]
     share = onehot.sum(0)
-    weight = (len(y) / (classes * np.maximum(share, 1)))[y][:, None]
+    weight = (len(y) / (classes * np.maximum(share, 1))).astype(np.float32)[y][:, None]
+    xt = np.ascontiguousarray(x.T)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
     for _ in range(steps):
         z = x @ w + b
         e = np.exp(z - z.max(1, keepdims=True))
         g = weight * (e / e.sum(1, keepdims=True) - onehot) / len(y)
-        vw, vb = 0.9 * vw + x.T @ g + decay * w, 0.9 * vb + g.sum(0)
+        vw, vb = 0.9 * vw + xt @ g + decay * w, 0.9 * vb + g.sum(0)
         w, b = w - rate * vw, b - rate * vb
     return w, b
 
 
 def corpus_negatives(docs: DataFrame, bound: int) -> list[str]:
-    """At most ``bound`` paragraphs without licence words, for training: from as many documents, chosen by a hash."""
+    """At most ``bound`` windows of lines without licence words, for training: from as many documents, chosen by a hash.
+
+    Lines are cut into windows as long as those that are classified; which of them are taken, hashes say.
+    """
     h = F.xxhash64("doc_id")
     least = docs.select(h.alias("h")).orderBy("h").limit(bound).agg(F.max("h")).first()[0]
     if least is None:
         return []
-    chosen = docs.where((h <= least) & F.col("text").isNotNull()).select(h.alias("h"), F.substring("text", 1, 4000).alias("head"))
-    lines = chosen.select("h", F.explode(F.split("head", "\n")).alias("line"))
+    lines = docs.where((h <= least) & F.col("text").isNotNull()).select(h.alias("h"), F.explode(F.split("text", "\n")).alias("line"))
     plain = lines.where(~F.lower("line").rlike("licen|rights reserved|public domain|copyright|spdx|permission|redistribut") & (F.length("line") > 20))
-    return [r.line for r in plain.orderBy("h", "line").limit(bound).select(F.substring("line", 1, 300).alias("line")).collect()]
+    windows = plain.select("h", F.explode(F.regexp_extract_all("line", F.lit(rf"(\S{{1,40}}\s*){{1,{WINDOW_WORDS}}}"), F.lit(0))).alias("line"))
+    return [r.line for r in windows.select(F.xxhash64("h", "line").alias("k"), "line").orderBy("k", "line").limit(bound).select("line").collect()]
+
+
+#: Turns of the calibration: in each, texts whose place in the list is a multiple away are left out, and some families.
+TURNS = 4
 
 
-def fit_licenses(negatives: list[str], augmented: int = 24, seed: int = 5) -> LicenseModel:
+def fit_licenses(negatives: list[str], augmented: int = 12, seed: int = 5) -> LicenseModel:
     """Train on the templates, varied by dropped words, cut ends and foreign neighbours, against the negatives."""
     r = np.random.default_rng(seed)
-    rows: list[tuple[list[str], str]] = []
+    rows: list[tuple[list[str], str, int]] = []  # words, family, turn in which the text is left out
     filler = [w for x in negatives for w in words(x)] or ["the"]
     for family, texts in TEMPLATES.items():
-        for t in texts:
+        for turn, t in enumerate(texts):
             own = words(t)
-            rows.append((own, family))
+            rows.append((own, family, turn % TURNS))
             for _ in range(augmented):
                 kept = [w for w in own if r.random() > 0.08] or own
                 before = list(r.choice(filler, r.integers(0, 6)))
                 after = list(r.choice(filler, r.integers(0, 6)))
-                rows.append((before + kept + after, family))
-    for t in (*NEGATIVES, *negatives):
-        rows.append((words(t), UNKNOWN))
-    for t in NEGATIVES:
+                rows.append((before + kept + after, family, turn % TURNS))
+    for turn, t in enumerate((*NEGATIVES, *negatives)):
+        rows.append((words(t), UNKNOWN, turn % TURNS))
+    for turn, t in enumerate(NEGATIVES):
         for _ in range(augmented):
-            rows.append(([w for w in words(t) if r.random() > 0.15], UNKNOWN))
-    counts = Counter(g for tokens, family in rows if family != UNKNOWN for g in set(grams(tokens)))
-    known = {g for t in (*sum(TEMPLATES.values(), ()), *NEGATIVES) for g in grams(words(t))}
-    features = {g: i for i, g in enumerate(sorted(g for g in known if counts[g] >= 2 or g in counts or any(g in grams(words(t)) for t in NEGATIVES)))}
+            rows.append(([w for w in words(t) if r.random() > 0.15], UNKNOWN, turn % TURNS))
+    features = {g: i for i, g in enumerate(sorted({g for t in (*sum(TEMPLATES.values(), ()), *NEGATIVES) for g in grams(words(t))}))}
     classes = [*TEMPLATES, UNKNOWN]
-    x = np.zeros((len(rows), len(features)))
-    for i, (tokens, _) in enumerate(rows):
+    x = np.zeros((len(rows), len(features)), np.float32)
+    for i, (tokens, *_) in enumerate(rows):
         at = sorted({features[g] for g in grams(tokens) if g in features})
         x[i, at] = 1 / max(1.0, len(at)) ** 0.5
-    y = np.array([classes.index(family) for _, family in rows])
-    kept = r.random(len(rows)) < 0.2
-    w, b = _softmax_fit(x[~kept], y[~kept], len(classes))
-    z = x[kept] @ w + b
-    # the temperature is fitted on being right: the margin of the best class over the rest
-    top = z.max(1)
-    rest = np.log(np.maximum(np.exp(z - top[:, None]).sum(1) - 1, 1e-12))
-    temperature = min(2.0, max(0.25, fit_temperature(-rest, (z.argmax(1) == y[kept]).astype(float))))
+    y = np.array([classes.index(family) for _, family, _ in rows])
+    turn_of = np.array([turn for *_, turn in rows])
+
+    # calibration: what is left out in a turn is scored by a model that hasn't seen it, nor the families of that turn
+    unknown, margins, seen, strange = classes.index(UNKNOWN), [], [], []
+    for turn in range(TURNS):
+        hidden = np.isin(y, [c for c in range(unknown) if c % TURNS == turn])
+        out = (turn_of == turn) | hidden
+        w, b = _softmax_fit(x[~out], y[~out], len(classes), steps=80)
+        z = x[out] @ w + b
+        top = z.max(1)
+        wanted = np.where(hidden[out], unknown, y[out])
+        found = z.argmax(1)
+        margins.append(-np.log(np.maximum(np.exp(z - top[:, None]).sum(1) - 1, 1e-12))[~hidden[out]])
+        seen.append((found == wanted)[~hidden[out]])
+        strange.append((found == unknown)[hidden[out]])
+    # the temperature is fitted on being right about unseen texts: the margin of the best class over the rest
+    right = np.concatenate(seen)
+    temperature = min(2.0, max(0.25, fit_temperature(np.concatenate(margins), right.astype(float))))
+    report = {"texts": float(len(right)), "unseen_texts_right": float(right.mean()), "unseen_families_unknown": float(np.concatenate(strange).mean()), "temperature": temperature}
+
+    w, b = _softmax_fit(x, y, len(classes))
     telling = frozenset(g for g, i in features.items() if " " not in g and w[i, :-1].max() > w[i, -1] and g not in {"the", "a", "of", "and", "to", "in", "is", "this", "or", "for", "it", "you", "that", "are", "with", "any", "may", "not", "be", "by", "no"})
     pairs = {family: [frozenset(map(" ".join, zip(words(t), words(t)[1:], strict=False))) for t in texts] for family, texts in TEMPLATES.items()}
-    return LicenseModel(classes, features, w, b, temperature, telling, pairs)
+    return LicenseModel(classes, features, w, b, temperature, telling, pairs, report)
 
 
 def license_scan(docs: DataFrame, model: LicenseModel, threshold: float = 0.6, share: float = 0.6) -> DataFrame:

@@ -2,10 +2,11 @@
 
 Base kinds (email, ip, card, phone) follow fixed patterns and are always kept once their validator accepts them. Further
 kinds (iban, ssn, secret) are proposed by patterns too, confirmed by mod-97 or by their form, and kept only if the score,
-raised by telling words shortly before the span, reaches ``threshold``.
+raised or lowered by telling words within ``CONTEXT`` characters before or behind the span, reaches ``threshold``.
 
-Defined results: null and empty texts have no spans; rows with equal ids are scored each on its own; other columns are
-ignored whatever their names; an empty table gives an empty result.
+Defined results: null and empty texts have no spans; texts of any length are searched whole, in time in proportion to their
+length; spans of several kinds may overlap, and those that begin at one place come in the order of the kinds; rows with equal
+ids are scored each on its own; other columns are ignored whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -68,6 +69,9 @@ LOWERS = {
 }
 _WORD = re.compile(r"[a-z]+")
 
+#: Characters before and behind a span in which telling words count.
+CONTEXT = 48
+
 
 class Span(NamedTuple):
     start: int
@@ -93,8 +97,8 @@ def mod97(iban: str) -> bool:
     return rest == 1
 
 
-def _score(text: str, kind: str, start: int) -> float:
-    near = set(_WORD.findall(text[max(0, start - 48) : start].lower()))
+def _score(text: str, kind: str, start: int, end: int) -> float:
+    near = set(_WORD.findall(text[max(0, start - CONTEXT) : start].lower())) | set(_WORD.findall(text[end : end + CONTEXT].lower()))
     score = PRIOR[kind] + 0.25 * any(w in near for w in RAISES[kind]) - 0.25 * any(w in near for w in LOWERS[kind])
     return round(min(1.0, max(0.0, score)), 3)
 
@@ -156,7 +160,7 @@ def find_spans(text: str | None, threshold: float = 0.5) -> list[Span]:
         found += [(m.start(), m.end(), "ssn") for m in _SSN.finditer(text)]
     if "=" in text or ":" in text:
         found += [(m.start(1), m.end(1), "secret") for m in _SECRET.finditer(text)]
-    spans = [Span(s, e, k, _score(text, k, s)) for s, e, k in found]
+    spans = [Span(s, e, k, _score(text, k, s, e)) for s, e, k in found]
     return sorted((x for x in spans if x.kind in BASE_KINDS or x.score >= threshold), key=lambda x: (x.start, _RANK[x.kind]))
 
 

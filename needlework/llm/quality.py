@@ -6,7 +6,8 @@ are the frequency-weighted means of their units' vectors beside a few length and
 pooled by shape. The network is trained by plain gradient steps, and a temperature fitted on rows kept from training makes
 its outputs probabilities.
 
-Defined results: null and empty texts are scored from the empty pool; rows with equal ids are scored each on its own; other
+Defined results: null and empty texts are scored from the empty pool; texts of any length are pooled whole; rows with equal
+ids are scored each on its own; units of equal frequency are taken in order of their spelling; ids may have any type; other
 columns are ignored whatever their names; an empty table gives an empty result; without labels of both classes every score
 is the share of good labels (1 without any).
 """
@@ -188,7 +189,10 @@ def _context_sums(sample: DataFrame, units: dict[str, int]) -> np.ndarray:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = 12_000, vocabulary: int = 4_000) -> QualityModel:
-    """Learn from at most about ``bound`` labelled rows outside the held-out fifth; ``vocabulary`` bounds the units."""
+    """Learn from at most about ``bound`` labelled rows outside the held-out fifth.
+
+    ``vocabulary`` bounds the units: the most frequent ones that at least 3 of the rows hold. Other words are pooled by shape.
+    """
     sample = stage_table(labelled_sample(docs, labels, "quality", bound).select("doc_id", "text", F.col("y").cast("int").alias("y")), "quality_sample")
     found = _unit_counts(sample).where(F.col("n") >= 3).orderBy(F.desc("n"), "u").limit(vocabulary).collect()
     units = {r.u: i for i, r in enumerate(found)}
@@ -205,7 +209,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = 12_000, vocabul
             x = [pool(t.as_py(), *shared.value).astype(np.float32) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(x, pa.list_(pa.float32()))], ["doc_id", "y", "x"])
 
-    rows = sample.mapInArrow(pooled, "doc_id long, y int, x array<float>").orderBy("doc_id").toPandas()  # vectors of the bounded sample
+    out = T.StructType([sample.schema["doc_id"], T.StructField("y", T.IntegerType()), T.StructField("x", T.ArrayType(T.FloatType()))])
+    rows = sample.mapInArrow(pooled, out).orderBy("doc_id").toPandas()  # vectors of the bounded sample
     y = rows["y"].to_numpy(float) if len(rows) else np.zeros(0)
     prior = float(y.mean()) if len(y) else 1.0
     if len(y) < 10 or prior in (0.0, 1.0):

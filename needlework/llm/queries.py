@@ -57,15 +57,19 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents under two tokenizer versions; then surplus copies are taken back; both batches are committed twice."""
+    """All documents under two tokenizer versions; texts with runs of line ends are revised to single ones, then surplus copies are
+    taken back; all batches are committed twice, and the ledger is compacted."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
     versions = {name: (vocabulary_path(f"{name}.tiktoken"), public_tokenizers.PATTERN) for name in ("byte_bpe_50k", "byte_bpe_multi_50k")}
     ledger, counts, copies = TokenLedger(spark), count_tokens(docs, versions), surplus_copies(docs)
-    for _ in range(2):  # the second round finds both ids committed and changes nothing
+    revised = docs.where(F.col("doc_id").isNotNull() & F.contains("text", F.lit("\n\n"))).withColumn("text", F.regexp_replace("text", r"\n{2,}", "\n"))
+    for _ in range(2):  # the second round finds all ids committed and changes nothing
         ledger.insert("all", counts)
+        ledger.revise("line-ends", count_tokens(revised, versions))
         ledger.delete("copies", copies)
+    ledger.compact()
     return ledger.totals()
 
 

@@ -54,6 +54,64 @@ def test_hits_and_exceptions():
     assert toxicity.ToxicityModel({}, ()).score("anything") < 0.5
 
 
+def plain_hits(folded, weights, exceptions):
+    """Every place by itself: the heaviest entry that begins there, unless an exception runs over it."""
+    total, best = 0.0, [max((w for e, w in weights.items() if folded.startswith(e, i)), default=None) for i in range(len(folded))]
+    for i, w in enumerate(best):
+        if w is not None and not any(folded.startswith(f" {x} ", j) and j <= i < j + len(x) + 1 for x in exceptions for j in range(len(folded))):
+            total += w
+    return total
+
+
+def test_hits_by_definition():
+    r = np.random.default_rng(3)
+    word = lambda: "".join(r.choice(list("abc"), r.integers(1, 4)))
+    for _ in range(150):
+        weights = {f" {word()}" + " " * int(r.integers(2)): float(r.integers(1, 9)) for _ in range(r.integers(0, 6))}
+        exceptions = tuple({" ".join(word() for _ in range(r.integers(1, 4))) for _ in range(r.integers(0, 5))})
+        model = toxicity.ToxicityModel(weights, exceptions)
+        folded = toxicity.fold(" ".join(word() for _ in range(r.integers(0, 25))))
+        assert abs(model.hits(folded)[0] - plain_hits(folded, weights, exceptions)) < 1e-9
+
+
+def test_hits_take_time_in_proportion():
+    import time
+
+    model = toxicity.ToxicityModel({" idiot ": 2.5, " trash ": 3.0}, ("trash can",))
+    began = time.perf_counter()
+    assert model.hits(toxicity.fold("idiot trash can " * 60_000))[0] == 60_000 * 2.5
+    assert time.perf_counter() - began < 10
+
+
+def test_exceptions_around_beginnings_are_learnt(spark):
+    rows = [(i, f"they are all scumbags of no use number {i}", 1) for i in range(60)] + [(100 + i, f"clean the scum line of the pool {i}" if i % 4 == 0 else f"a calm day number {i}", 0) for i in range(400)]
+    rows = [x for x in rows]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    assert any(e.startswith(" scum") for e in model.weights)
+    assert model.score("clean the scum line of the pool") < 0.5 <= model.score("they are all scumbags of no use")
+
+
+def test_ids_of_any_type(spark):
+    docs, labels = (table(spark, SF, t).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id"))) for t in ("documents", "labels"))
+    scores = quality.quality_scores(docs, quality.fit_quality(docs, labels, bound=200))
+    assert scores.schema["doc_id"].dataType.simpleString() == "string" and scores.count() == 1000
+
+
+def test_pool_by_definition():
+    r = np.random.default_rng(4)
+    units = {u: i for i, u in enumerate(["red", "cat", "<l2", "<l1", "<s.1"])}
+    vectors = r.normal(size=(len(units), quality.DIM)).astype(np.float32)
+    for _ in range(30):
+        text = " ".join(r.choice(["red", "Cat", "dog", ".", "ab", "longword"], r.integers(1, 20)))
+        found = quality.tokens(text)
+        mean = lambda names: sum((vectors[units[x]] for x in names if x in units), np.zeros(quality.DIM)) / len(found)
+        out = quality.pool(text, units, vectors)
+        assert np.allclose(out[: quality.DIM], mean([x.lower() for x in found]), atol=1e-5)
+        assert np.allclose(out[quality.DIM : 2 * quality.DIM], mean([quality.shape(x) for x in found]), atol=1e-5)
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     return spark.createDataFrame([(1, None, "en", "s", 0), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (None, "!!!", None, None, None), (4, "long " * 50_000, "en", "s", 1)], SCHEMA).withColumn("score", F.lit("x")).withColumn("y", F.lit(1)).withColumn("x", F.lit(1))
@@ -156,3 +214,25 @@ def test_licences_of_the_corpus(spark, odd, license_model):
     notices = docs.where(F.col("text").rlike("(?i)licensed under|released under the mit|all rights reserved"))
     assert {r.doc_id for r in notices.collect()} == {i for i, r in got.items() if r.n_licensed}
     assert licenses.license_scan(odd, license_model).count() == 5
+
+
+def test_calibration_is_on_unseen_texts(license_model):
+    report = license_model.report
+    assert report["texts"] > 1000 and 0.25 <= report["temperature"] <= 2.0
+    assert report["unseen_texts_right"] > 0.7 and report["unseen_families_unknown"] > 0.3
+
+
+def test_scan_by_definition(license_model):
+    """Every span is the family's by the model and holds enough of a template; every template in noise is found."""
+    r = np.random.default_rng(6)
+    noise = ["river", "stone", "walk", "under", "blue", "table", "of", "house"]
+    for family, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            text = " ".join(r.choice(noise, 30)) + ".\n\n" + t + "\n\n" + " ".join(r.choice(noise, 30))
+            found = license_model.scan(text, 0.6, 0.6)
+            assert family in {x[2] for x in found}
+            for a, b, own, p in found:
+                inside = licenses.words(text[a:b])
+                pairs = {" ".join(x) for x in zip(inside, inside[1:], strict=False)}
+                plain = [{" ".join(x) for x in zip(licenses.words(u), licenses.words(u)[1:], strict=False)} for u in licenses.TEMPLATES[own]]
+                assert any(len(pairs & u) >= 0.6 * len(u) for u in plain) and p >= 0.6

@@ -2,17 +2,19 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
 from needlework.llm import ann, components, decontaminate, jaccard, rollup
 from needlework.llm.common import table
+from needlework.llm.queries import queries
 from needlework.llm.tokens import vocabulary_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -109,6 +111,19 @@ def test_jaccard_edges(spark):
         jaccard.jaccard_components(docs, 3, 11, 10)
 
 
+def test_ids_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a + " end"
+    rows = [(1, c), (5, a), (5, b), (7, near), (9, b), (None, a), (None, "lonely words of no one"), (3, None), (5, "")]
+    found = jaccard.jaccard_components(frame(spark, [t for _, t in rows], [i for i, _ in rows]), 3, 8, 10)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()), key=str)
+    assert got == sorted([(1, 38, 1), (5, 38, 5), (5, 38, 5), (7, 39, 5), (9, 38, 5), (None, 38, 5), (None, 2 + 1, None), (3, 0, 3), (5, 0, 5)], key=str)
+    docs = frame(spark, [t for _, t in rows], [i for i, _ in rows]).withColumns({"kept": F.lit(1), "row_no": F.lit(2)})
+    kept = jaccard.keep_one(docs, 3, 8, 10)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, c), (5, a), (5, b), (None, "lonely words of no one"), (3, None), (5, "")], key=str)
+
+
 def test_keep_one(spark):
     texts = near_texts(5)
     kept = {r.doc_id for r in jaccard.keep_one(frame(spark, texts)).collect()}
@@ -258,6 +273,106 @@ def test_decontamination_edges(spark):
     assert decontaminate.drop_leaks(docs, bench).columns == docs.columns
 
 
+# a plain version of the decontamination, by its definition
+
+UNIT = rf"(\x02\d+) ?\x01?({decontaminate.UNITS})(?![\p{{L}}\p{{N}}])"
+
+
+def plain_tokens(text):
+    t = regex.sub(r"[\x01-\x03]", " ", text)
+    t = regex.sub(r"(?<=[\p{L}\p{N},;:)] )(\p{Lu}\p{Ll}+)", "\x01\\1", t)
+    if regex.search(r"[0-9]", text):
+        t = regex.sub(r"(?<=[0-9])[.,](?=[0-9])", "", t)
+        t = regex.sub(r"(?<![\p{L}0-9])([0-9]+)(?![0-9])", "\x02\\1", t)
+        t = regex.sub("(\x02[0-9]+) ?%", "\\1 \x03percent", t)
+        t = regex.sub("[$€£] ?(?=\x02)", " \x03currency ", t)
+        t = regex.sub(UNIT, "\\1 \x03\\2", t, flags=regex.I)
+    return [x for x in regex.split(r"[^\p{L}\p{M}\p{N}\x01-\x03]+", t.lower()) if x]
+
+
+def plain_leaks(texts, items, coverage=0.6, consistent=0.8):
+    kind = lambda t: ord(t[0]) if ord(t[0]) <= 3 else 0
+    bare = lambda t: t[1:] if kind(t) else t
+    forms = lambda ts: ([kind(t) or t for t in ts], [bare(t) if kind(t) == 1 else kind(t) or t for t in ts], [bare(t) for t in ts])
+    value = lambda t: bare(t) if kind(t) == 1 else t
+    literals = lambda w: sum(isinstance(x, str) for x in w)
+    out = set()
+    for k, item in enumerate(items):
+        own = plain_tokens(item or "")
+        m = min(len(own), decontaminate.WINDOW)
+        if not own:
+            continue
+        h, p, v = forms(own)
+        places = range(len(own) - m + 1)
+        cut = lambda form, i: tuple(form[i : i + m])
+        wanted = set()
+        for i in places:
+            typed, worded = literals(cut(h, i)) >= 2, literals(cut(p, i)) >= 2
+            wanted |= {(cut(h, i), i, typed)} if typed else set()
+            wanted |= {(cut(p, i) if worded else cut(v, i), i, typed)}
+        slotted, n = any(isinstance(x, int) for x in h), len(own)
+        every, templates = {i for _, i, _ in wanted}, {i for _, i, typed in wanted if typed}
+
+        def enough(places):
+            met, of = {i for i, _ in places}, {i for i, typed in places if typed}
+            return len(met) >= coverage * len(every) or (templates and len(of) >= coverage * len(templates))
+
+        for d, text in enumerate(texts):
+            found = plain_tokens(text or "")
+            if not found or (m < decontaminate.MIN_TOKENS and len(found) != m):
+                continue
+            shapes = [{cut(form, j) for form in forms(found)} for j in range(len(found) - m + 1)]
+            met = {(i, j, typed) for w, i, typed in wanted for j, own_forms in enumerate(shapes) if w in own_forms}
+            if not enough({(i, typed) for i, _, typed in met}):
+                continue
+            support = Counter(j - i for i, j, _ in met)
+            bands = {}
+            half = max(1, n // 2)
+            for i, j, typed in met:
+                s = j - i
+                for band in [(0, s), (1, s // half), (1, s // half - 1), (2, 0)] if slotted else [(2, 0)]:
+                    best = bands.setdefault(band, {})
+                    best[i, typed] = max(best.get((i, typed), (0, -(1 << 60))), (support[s], s))
+            for best in bands.values():
+                if not enough(set(best)):
+                    continue
+                pairs = {(value(own[i + x]), value(found[i + s + x])) for (i, _), (_, s) in best.items() for x in range(m) if kind(own[i + x])}
+                forth, back = Counter(a for a, _ in pairs), Counter(b for _, b in pairs)
+                ok = [forth[a] == 1 and back[next(b for c, b in pairs if c == a)] == 1 for a in forth]
+                if not ok or sum(ok) / len(ok) >= consistent:
+                    out.add((d, k))
+                    break
+    return out
+
+
+def test_leaks_by_definition(spark):
+    r = random.Random(12)
+    names, things = ["Anna", "Ben", "Cleo", "Dan"], ["apples", "red pens", "stones"]
+    shapes = ["{a} has {x} {t} and gives {y} of them to {b}. How many {t} has {a} now?", "A car drives {x} km in {y} hours, then {a} drives {x} km back.", "What is {x} + {y} - {x}?", "Is it {a}", "{x} {y} {x} {y} {z} {x}"]
+
+    def fill(shape):
+        a, b = r.sample(names, 2)
+        return shape.format(a=a, b=b, t=r.choice(things), x=r.randint(1, 9), y=r.randint(10, 99), z=r.randint(100, 999))
+
+    items = [fill(s) for s in shapes for _ in range(2)] + ["Yes", "so it is", None, ""]
+    texts = [None, "", "yes", "So it is!", "so it is not"]
+    for _ in range(60):
+        parts = [fill(r.choice(shapes)) if r.random() < 0.6 else r.choice([x for x in items if x]) for _ in range(r.randint(1, 3))]
+        words = " ".join(parts).split()
+        if r.random() < 0.5:
+            words = [w for w in words if r.random() > 0.06]
+        texts.append(("Well, " if r.random() < 0.5 else "") + " ".join(words))
+    expected = plain_leaks(texts, items)
+    assert leaks(spark, texts, items) == expected and len(expected) > 40
+
+
+def test_leaks_whatever_columns_are_called(spark):
+    docs = frame(spark, [ITEM, "fine"]).withColumns({c: F.lit("x") for c in ("leaked", "row_key", "t", "band", "m", "window")})
+    bench = spark.createDataFrame([(0, ITEM)], "item_id long, text string").withColumn("leaked", F.lit(1))
+    kept = decontaminate.drop_leaks(docs, bench)
+    assert kept.columns == docs.columns and [r.text for r in kept.collect()] == ["fine"]
+
+
 # -- token ledger
 
 
@@ -298,6 +413,51 @@ def test_ledger(spark):
     assert rollup.count_tokens(docs.where("false"), counter).count() == 0
 
 
+def test_first_writer_of_a_batch_counts(spark):
+    ledger = rollup.TokenLedger(spark)
+    rows = spark.createDataFrame([(1, "s", "en", "v", 1, 5, 9)], rollup.ROWS)
+    assert ledger.commit("a", rows)
+    late = f"{ledger.path}/staged/late"
+    rows.write.parquet(f"{late}/rows")
+    assert not ledger._publish(late, f"{ledger.path}/batches/a")
+    assert not ledger._fs.exists(ledger._path(late))
+    assert sorted(x.getPath().getName() for x in ledger._fs.listStatus(ledger._path(f"{ledger.path}/batches/a"))) == ["rows", "totals"]
+    assert ledger.totals().first().tokens == 5
+
+
+@pytest.mark.parametrize("drop", [False, True])
+def test_compaction_keeps_totals(spark, drop):
+    ledger = rollup.TokenLedger(spark)
+    rows = [(i, "s", "en", "v", 1, i, 2 * i) for i in range(20)]
+    ledger.commit("a", spark.createDataFrame(rows, rollup.ROWS))
+    total = lambda: [tuple(r) for r in ledger.totals().collect()]
+    assert ledger.compact(drop) and not ledger.compact(drop)
+    assert total() == [("s", "en", "v", 20, 190, 380)]
+    assert not ledger.commit("a", spark.createDataFrame(rows, rollup.ROWS))
+    ids = spark.createDataFrame([(3,), (4,)], "doc_id long")
+    assert ledger.delete("b", ids) and ledger.compact(drop) and ledger.delete("c", ids) and ledger.compact(drop)
+    assert total() == [("s", "en", "v", 18, 183, 366)] and ledger.held(ids).count() == 0
+    assert ledger.batches() == ["a", "b", "c"] and ledger._names("generations") == ["000000001", "000000002", "000000003"]
+
+
+def test_counts_of_the_query(spark):
+    """The registered query against plain counting: single line ends, smallest id of each text."""
+    import public_tokenizers
+
+    docs, expected, known = sorted(table(spark, SF, "documents").collect(), key=lambda x: x.doc_id), {}, set()
+    for version in ("byte_bpe_50k", "byte_bpe_multi_50k"):
+        counter, known = rollup.BytePairs(vocabulary_path(f"{version}.tiktoken"), public_tokenizers.PATTERN), set()
+        for x in docs:
+            if x.text not in known:
+                known.add(x.text)
+                t = re.sub("\n{2,}", "\n", x.text)
+                n = expected.setdefault((x.source, x.lang, version), [0, 0, 0])
+                for k, v in enumerate((1, counter.count(t), len(t))):
+                    n[k] += v
+    got = {(r.source, r.lang, r.tokenizer): [r.docs, r.tokens, r.chars] for r in queries()["op8_token_counts"](spark, SF).collect()}
+    assert got == expected
+
+
 # -- pipeline
 
 
@@ -320,3 +480,55 @@ def test_pipeline_keeps_odd_rows(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = corpus_pipeline.stage_table(stage(spark, docs, SF), name)
     assert sorted(r.doc_id for r in docs.collect()) == list(range(14))
+
+
+def test_pipeline_run(spark, monkeypatch):
+    """run() leaves what the stages give one by one, and only its result stays staged."""
+    from needlework.llm import common
+
+    began = common.staged_so_far()
+    rows = corpus_pipeline.run(spark, SF)
+    assert common.staged_so_far() == began + 1
+    docs = table(spark, SF, "documents")
+    assert 0 < rows.select("doc_id").distinct().count() < docs.count() and rows.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 4096
+    empty = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, SF)
+        assert empty.count() == 0
+
+
+ODD = ["window", "pos", "rank", "length", "shard", "slot", "key", "kept", "leaked", "row_key", "h", "t", "v", "spans", "score", "leaf", "bin", "component_id", "n_shingles", "tokens", "docs", "row_no", "size", "m"]
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, tmp_path_factory):
+    """Nulls, empty and very long texts, repeated rows, ids twice, extra columns named like internal ones; and empty tables."""
+    at = tmp_path_factory.mktemp("odd")
+    more = {c: F.lit("x") for c in ODD}
+    long_text = " ".join(f"word{i % 977} idiot trash can, call +1 555 0{i % 1000:03d} 9999;" for i in range(18_000))
+    same = "the very same text that stands here again and again"
+    rows = [(1, None), (2, ""), (3, long_text), (4, same), (4, same), (5, same), (6, ITEM), (6, "another text under a known id"), (None, same), (None, None), (7, "\n\n \t")]
+    frame(spark, [t for _, t in rows], [i for i, _ in rows]).withColumns(more).write.parquet(f"{at}/odd/documents.parquet")
+    for name in ("labels", "benchmark", "embeddings"):
+        whole = table(spark, SF, name)
+        whole.withColumns({c: f for c, f in more.items() if c not in whole.columns}).write.parquet(f"{at}/odd/{name}.parquet")
+        whole.where("false").write.parquet(f"{at}/empty/{name}.parquet")
+    table(spark, SF, "documents").where("false").write.parquet(f"{at}/empty/documents.parquet")
+    return at, len(rows)
+
+
+@pytest.mark.parametrize("name", [q for q in queries() if q not in ("op6_ann", "pipeline")])
+def test_queries_on_odd_tables(spark, odd_tables, name):
+    at, n = odd_tables
+    found = queries()[name](spark, f"{at}/odd").collect()
+    if name not in ("op3_decontamination", "op4_packing", "op8_token_counts"):
+        assert len(found) == n  # a row a row
+    if name == "op4_packing":
+        assert sum(x.piece == 0 for x in found) == n
+    assert queries()[name](spark, f"{at}/empty").count() == 0
+
+
+def test_pipeline_on_odd_tables(spark, odd_tables):
+    at, _ = odd_tables
+    found = queries()["pipeline"](spark, f"{at}/odd")
+    assert found.where("piece = 0").count() > 3 and queries()["pipeline"](spark, f"{at}/empty").count() == 0

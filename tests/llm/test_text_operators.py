@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -84,6 +85,12 @@ def test_long_secrets_go_whole():
     pii.find_spans("token=" * 50_000 + "a" * 300_000)
 
 
+def test_context_stands_on_both_sides():
+    spans = lambda t: [x.kind for x in pii.find_spans(t)]
+    assert spans("my ssn is 123-45-6789") == spans("123-45-6789 is my ssn") == ["ssn"]
+    assert spans("123-45-6789 " + "x " * 40 + "ssn") == spans("part 123-45-6789, ssn") == []
+
+
 def test_long_runs_are_linear():
     import time
 
@@ -166,7 +173,7 @@ def test_pack_edges(spark):
 
 
 def test_ranks_of_hot_lengths_are_gapless(spark):
-    pieces = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(7).cast("long").alias("length"), F.col("id").alias("ids_crc32"))
+    pieces = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(7).cast("long").alias("length"), F.col("id").alias("ids_crc32"), F.col("id").alias("row_no"))
     got = sorted(r["rank"] for r in packing.ranked(pieces, {7: 5000}, group_rows=100).collect())
     assert got == list(range(5000))
 
@@ -192,6 +199,81 @@ def test_plans(histogram, least):
         assert at <= 4096
 
 
+_R = np.random.default_rng(0)
+TRAPS = {
+    "small ones belong beside large ones": (100, {51: 1000, 25: 1000, 24: 1000}),
+    "quarters": (4096, {2149: 500, 1074: 500, 1224: 500, 874: 1000}),
+    "thirds": (4096, dict(Counter(np.concatenate([_R.integers(1300, 1500, 3000), _R.integers(2000, 2600, 2000), _R.integers(100, 700, 1500)]).tolist()))),
+}
+
+
+@pytest.mark.parametrize("name", TRAPS)
+def test_weights_solve_the_program(name):
+    capacity, histogram = TRAPS[name]
+    plan, plain = packing.plan_packing(histogram, capacity), packing.plan_packing(histogram, capacity, rate=0.0)
+    best_fit = sum(x for _, x in packing.best_fit(list(histogram.items()), capacity))
+    assert plan.bound <= plan.sequences <= plan.bound * 1.015 + 1
+    assert plan.sequences <= best_fit and plan.sequences < 0.95 * plain.sequences
+    assert abs(plan.gap - (plan.sequences / plan.bound - 1)) < 1e-12
+    if name == "quarters":
+        assert plan.sequences < 0.95 * best_fit and plan.bound > 1.02 * sum(n * k for n, k in histogram.items()) / capacity
+
+
+def test_bound_holds_for_small_programs():
+    r = random.Random(5)
+
+    def least(items, capacity):  # by trying all
+        best = [len(items)]
+
+        def go(k, rooms):
+            if len(rooms) >= best[0]:
+                return
+            if k == len(items):
+                best[0] = len(rooms)
+                return
+            for i, room in enumerate(rooms):
+                if room >= items[k] and room not in rooms[:i]:
+                    go(k + 1, [*rooms[:i], room - items[k], *rooms[i + 1 :]])
+            go(k + 1, [*rooms, capacity - items[k]])
+
+        go(0, [])
+        return best[0]
+
+    for _ in range(25):
+        capacity = r.randint(8, 30)
+        items = sorted((r.randint(1, capacity - 1) for _ in range(r.randint(1, 9))), reverse=True)
+        plan = packing.plan_packing(Counter(items), capacity)
+        assert plan.bound <= least(items, capacity) + 1e-9 <= plan.sequences + 1e-9 and plan.sequences <= least(items, capacity) + 1
+
+
+def test_best_fit_in_runs_is_best_fit():
+    r = random.Random(9)
+    for _ in range(40):
+        capacity = r.randint(10, 60)
+        counts = {r.randint(1, capacity): r.randint(1, 40) for _ in range(r.randint(1, 8))}
+        rooms = []
+        for n in sorted(Counter(counts).elements(), reverse=True):
+            fits = [x for x in rooms if x >= n]
+            if fits:
+                rooms.remove(min(fits))
+                rooms.append(min(fits) - n)
+            else:
+                rooms.append(capacity - n)
+        runs = packing.best_fit(list(counts.items()), capacity)
+        assert sum(x for _, x in runs) == len(rooms)
+        assert Counter({n: sum(f.get(n, 0) * x for f, x in runs) for n in counts}) == Counter(counts)
+
+
+def test_repeated_rows_are_no_hot_group(spark):
+    docs = frame(spark, ["same text"] * 3000, [1] * 3000).repartition(4)
+    pieces = packing.token_pieces(docs, PATH).withColumn("row_no", F.monotonically_increasing_id()).cache()
+    ((n, k),) = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}.items()
+    rows = packing.ranked(pieces, {n: k}, group_rows=100)
+    assert sorted(r["rank"] for r in rows.collect()) == list(range(3000))
+    groups = pieces.groupBy(F.pmod(F.xxhash64("row_no"), F.lit(30))).count().agg(F.max("count")).first()[0]
+    assert groups < 200
+
+
 def test_price_is_optimal():
     r = random.Random(2)
     for _ in range(60):
@@ -251,3 +333,20 @@ def test_shards_edges(spark):
     assert sorted(x.text for x in kept) == ["a", "b"]
     with pytest.raises(ValueError):
         sharding.shard(frame(spark, []), 0)
+
+
+def test_kept_columns_keep_their_values(spark):
+    names = ["key", "leaf", "leaf_bits", "first_slot", "part", "row_no", "kept", "text"]
+    docs = frame(spark, ["a", "b", None]).withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in names[:-1]})
+    rows = sharding.shard(docs, 2, keep=tuple(names)).collect()
+    assert {r.doc_id: tuple(r[c] for c in names) for r in rows} == {r.doc_id: tuple(r[c] for c in names) for r in docs.collect()}
+    with pytest.raises(ValueError):
+        sharding.shard(docs, 2, keep=("Size",))
+
+
+@pytest.mark.parametrize("ids", [[None] * 3000, [4] * 3000])
+def test_a_single_key_is_cut_too(spark, ids):
+    docs = frame(spark, ["hot " * 30] * 3000 + ["x" * (i % 300) for i in range(3000)], ids + list(range(10, 3010))).repartition(3)
+    rows = sharding.shard(docs, 8, rows_per_range=200).collect()
+    sizes = check_shards(rows, [(i, "hot " * 30) for i in range(3000)] + [(3000 + i, "x" * (i % 300)) for i in range(3000)], 8)
+    assert max(abs(s - sum(sizes) / 8) for s in sizes) <= 0.01 * sum(sizes) / 8 + 400
