@@ -25,18 +25,23 @@ _ARROW_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _own_dir: str | None = None
 
 
+def release_memory() -> None:
+    """Hand freed memory of this Python process back."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def returns_memory(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A function over batches that hands freed memory back when its task ends: idle Python workers live on beside the JVM."""
 
     @wraps(task)
     def run(batches: Iterator) -> Iterator:
         yield from task(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library
-            pass
+        release_memory()
 
     return run
 
@@ -66,6 +71,9 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
+#: After so many staged tables the driver hands freed memory back: operators plan many jobs, and a session runs many operators.
+RELEASE_EVERY = 8
+
 #: Folders of the tables that this process staged, in order.
 _staged: list[str] = []
 
@@ -89,6 +97,9 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/needlework/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     _staged.append(path)
+    if len(_staged) % RELEASE_EVERY == 0:
+        release_memory()
+        spark._jvm.System.gc()  # also lets Spark drop broadcasts and shuffles that nothing refers to any more
     return spark.read.schema(df.schema).parquet(path)
 
 

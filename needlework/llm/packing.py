@@ -229,12 +229,13 @@ def configurations(counts: np.ndarray, capacity: int, rate: float = 0.1, slack:
         if not t:
             bound = max(bound, float(need @ y) / top)
         start, open_ = left.copy(), np.flatnonzero(left)
+        # a filling around each length, of those that are dear enough, the dearest first
+        value = y[open_] + solved.best[capacity - lengths[open_]]
+        order = np.argsort(-value, kind="stable")
+        open_ = open_[order[value[order] >= (1 - slack) * top]]
         found = solved.fillings(capacity - lengths[open_])
         found[np.arange(len(open_)), open_] += 1
-        value = found @ y
-        for i in np.argsort(-value, kind="stable"):
-            if value[i] < (1 - slack) * top:
-                break
+        for i in range(len(open_)):
             at = np.flatnonzero(found[i])
             k = found[i][at].astype(np.int64)
             # a share of the rest of the length that the filling was made for
