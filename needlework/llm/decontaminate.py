@@ -10,8 +10,10 @@ all windows, or of those that are templates. Consistency is asked of one occurre
 the item), of overlapping bands of alignments no wider than the item, and of the whole document. Where an item's window
 matches at several places, the alignment with the most windows speaks for it. One consistent occurrence is enough.
 
-Everything is DataFrame functions. The benchmark's windows are broadcast behind a check of their number, and shuffled
-beyond it; documents are read again only for the rows that hold enough windows.
+Everything is DataFrame functions. The benchmark's windows are broadcast behind a check of their number. Beyond it a sieve of
+bits is broadcast, which drops nearly all windows of the documents that no item has, and what passes is shuffled and compared
+exactly; windows that very many documents hold are split by the adaptive join. Documents are read again only for the rows that
+hold enough windows.
 
 Defined results: null and empty texts leak nothing; null and empty items are not looked for; items shorter than a window are
 looked for whole, and those of fewer than ``MIN_TOKENS`` tokens leak only into documents that hold no other token; texts of any
@@ -28,10 +30,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stage_table
+from .common import BROADCAST_ROWS, maybe_broadcast, stage_table
 
 WINDOW, MIN_TOKENS = 5, 4
 
+#: Windows of a benchmark that are broadcast at most; more of them are sieved for and shuffled.
+BROADCAST_WINDOWS = BROADCAST_ROWS
+
+#: Bits of the sieve, as a power of two: 64 of them are one of the rows that are broadcast.
+SIEVE_BITS = 25
+
 UNITS = "km|cm|mm|m|kg|g|mg|lbs?|oz|mph|kmh|miles?|met(?:er|re)s?|feet|foot|inch(?:es)?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|degrees?|lit(?:er|re)s?"
 
 
@@ -122,6 +130,17 @@ def _occurrences(met: DataFrame) -> DataFrame:
     return stage_table(best.select("row_key", "item_id", "band", "item_pos", (F.col("item_pos") + F.col("best.shift")).alias("pos"), "m", "typed"), "placed")
 
 
+def _meet(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The windows ``found`` in documents that are ``wanted``, with the columns of both; ``wanted`` is a staged table."""
+    if wanted.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+        return found.join(F.broadcast(wanted), ["m", "window"])
+    bit = F.pmod(F.col("window"), F.lit(1 << SIEVE_BITS))
+    word, place = F.shiftright(bit, 6).alias("word"), bit.bitwiseAND(F.lit(63)).cast("int")
+    held = wanted.select(word, place.alias("place")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits"))
+    sieved = found.withColumn("word", word).join(F.broadcast(stage_table(held, "sieve")), "word").where(F.getbit("bits", place) == 1)
+    return sieved.drop("word", "bits").join(wanted, ["m", "window"])
+
+
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_coverage: float = 0.6, min_consistent: float = 0.8) -> DataFrame:
     """One row for each document and item that it leaks: doc_id, item_id, item_windows, matched_windows, slots, slots_consistent, row_key."""
     items = benchmark.select("item_id", tokens(F.col("text")).alias("t")).where(F.size("t") > 0).withColumn("h", _template(F.col("t"))).distinct()
@@ -146,7 +165,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
     read = docs.where("text is not null").select("doc_id", row_key().alias("row_key"), tokens(F.col("text")).alias("t"))
     read = read.select("doc_id", "row_key", _template(F.col("t")).alias("h"), _nameless(F.col("t")).alias("p"), _verbatim(F.col("t")).alias("v"))
-    met = _windows(read, ["doc_id", "row_key"], sizes or [window], forms).join(maybe_broadcast(wanted.drop("verbatim")), ["m", "window"])
+    met = _meet(_windows(read, ["doc_id", "row_key"], sizes or [window], forms), wanted.drop("verbatim"))
     met = stage_table(met.select("doc_id", "row_key", "item_id", "item_pos", "pos", "m", "n", "slotted", "typed"), "met")
     enough = met.groupBy("doc_id", "row_key", "item_id").agg(*found).join(total, "item_id").where(covered)
     enough = stage_table(enough.select("doc_id", "row_key", "item_id"), "enough")

@@ -345,7 +345,11 @@ def plain_leaks(texts, items, coverage=0.6, consistent=0.8):
     return out
 
 
-def test_leaks_by_definition(spark):
+@pytest.mark.parametrize("most,bits", [(decontaminate.BROADCAST_WINDOWS, decontaminate.SIEVE_BITS), (3, decontaminate.SIEVE_BITS), (3, 7)])
+def test_leaks_by_definition(spark, monkeypatch, most, bits):
+    """Windows that are broadcast, and those that are sieved for and shuffled, few bits included, give the same leaks."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
+    monkeypatch.setattr(decontaminate, "SIEVE_BITS", bits)
     r = random.Random(12)
     names, things = ["Anna", "Ben", "Cleo", "Dan"], ["apples", "red pens", "stones"]
     shapes = ["{a} has {x} {t} and gives {y} of them to {b}. How many {t} has {a} now?", "A car drives {x} km in {y} hours, then {a} drives {x} km back.", "What is {x} + {y} - {x}?", "Is it {a}", "{x} {y} {x} {y} {z} {x}"]
