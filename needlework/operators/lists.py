@@ -23,8 +23,11 @@ LISTS = "pattern string, occ long, n_docs long, is_complete boolean, k_star long
 
 
 def gram_frequencies(corpus: DataFrame, m: int, wanted: DataFrame | None = None) -> DataFrame:
-    """(pattern, doc_id, doc_length, tf) of all substrings of m characters, or of those in ``wanted`` (pattern)."""
-    each = corpus.where(F.char_length("text") >= m).select("doc_id", "doc_length", F.explode(grams(F.col("text"), m)).alias("pattern"))
+    """(pattern, doc_id, doc_length, tf) of all substrings of m characters, or of those in ``wanted`` (pattern).
+
+    Texts are dealt out by document before they are cut, a byte or so for each substring, so that substrings are counted where they are.
+    """
+    each = corpus.where(F.char_length("text") >= m).repartition("doc_id").select("doc_id", "doc_length", F.explode(grams(F.col("text"), m)).alias("pattern"))
     if wanted is not None:
         each = each.join(small_side(wanted.select("pattern")), "pattern", "left_semi")
     return each.groupBy("pattern", "doc_id", "doc_length").agg(F.count("*").alias("tf"))
