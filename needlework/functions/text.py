@@ -44,8 +44,8 @@ def has(text: Column, pattern: str | Column) -> Column:
 
 
 def grams(text: Column, m: int) -> Column:
-    """All substrings of m characters, in order of place, in one linear pass."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{int(m)}}}))"), F.lit(1))
+    """All substrings of m characters, in order of place, in one linear pass; a match takes a whole character, so none begins inside a surrogate pair."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{int(m)}}}))."), F.lit(1))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -274,6 +274,78 @@ def test_index_round_trip(spark, random_texts, tmp_path, gram):
     assert run_patterns(own, ["ab", "a."], 3).mean_us > 0
 
 
+ODD = [(0, "abab\x00ab\x00"), (0, "ab\x00abab"), (0, "abba"), (None, "abab"), (None, "baba"), (3, "😀a😀a😀a"), (4, "è è è è"), (5, ""), (6, "a"), (7, None), (8, "ab\nab\nab😀"), (9, "ab" * 40)]
+
+
+@pytest.mark.parametrize(("m", "sent"), [(1, True), (3, False)])
+def test_lists_by_code_are_those_by_string(spark, monkeypatch, m, sent):
+    own = src.corpus(spark.createDataFrame(ODD, "doc_id long, text string"))
+    as_rows = lambda df: {(x.pattern, x.occ, x.n_docs, x.is_complete, x.k_star, tuple(map(tuple, x.docs))) for x in df.collect()}
+    expected = as_rows(lists._stored(lists.staged(lists.gram_frequencies(own, m), "f"), 2, 11)[1])
+    monkeypatch.setattr(lists, "gram_frequencies", None)  # all pairs of substring and document as strings
+    if not sent:
+        monkeypatch.setattr(lists, "BROADCAST_ROWS", 0)
+    assert as_rows(lists.build_gram_lists(own, m, 2, 11)) == expected and len(expected) > 2
+    assert not any("?" in x[0] for x in expected)  # half a surrogate pair
+
+
+def test_lists_of_long_substrings_and_of_none(spark):
+    long_ones = lists.build_gram_lists(docs(spark, ["".join(map(chr, range(97, 123))) * 3]), 20, 2, 1).collect()  # 26**20 is no code
+    assert {x.occ for x in long_ones} == {3} and len(long_ones) == 7
+    assert lists.build_gram_lists(docs(spark, ["abc", ""]), 4, 2, 2).count() == 0 and lists.build_gram_lists(docs(spark, ["abcdef"]), 4, 2, 1).count() == 0
+
+
+def test_counts_of_large_alphabets():
+    import numpy as np
+    import pyarrow as pa
+
+    from needlework.functions import codes
+
+    texts = [["abcabc"], ["bca", "bcabca"], []]
+    alphabet = np.arange(ord("a"), ord("a") + (1 << 20))
+    code, row, n = codes.counted(pa.array(texts, pa.list_(pa.string())), 3, codes.ranks(alphabet[alphabet < codes.CODE_POINTS]), 1 << 20)
+    names = [chr(97 + (c >> 40)) + chr(97 + (c >> 20 & 0xFFFFF)) + chr(97 + (c & 0xFFFFF)) for c in code.tolist()]
+    assert set(zip(names, row.tolist(), n.tolist(), strict=True)) == {("abc", 0, 2), ("bca", 0, 1), ("cab", 0, 1), ("bca", 1, 3), ("cab", 1, 1), ("abc", 1, 1)}
+
+
+def test_index_by_parts(spark, random_texts, tmp_path):
+    own, path = docs(spark, random_texts), str(tmp_path / "index")
+    index = TopkIndex.build(own, path, g=3, gram=2, block_bytes=200, parts=["topk_lists"])
+    assert index.corpus is index.postings is index.phrases is None and index.topk_lists.count() > 0
+    index = TopkIndex.build(own, path, g=3, gram=2, block_bytes=200, parts=["corpus", "postings"])
+    index.save(str(tmp_path / "copy"))
+    copy = TopkIndex.load(spark, str(tmp_path / "copy"))
+    for p in ("a", "ab", "b. a", "zz"):
+        assert answer(copy.topk(p, 50)) == brute(random_texts, p, 50)
+    blocks = copy.corpus.groupBy("block").agg(F.sum(F.col("doc_length") + 1).alias("n"), F.max(F.col("doc_length") + 1).alias("last")).collect()
+    assert len(blocks) == copy.meta.first().blocks > 4 and all(x.n < 200 + x.last for x in blocks)
+    posted = {(x.gram, x.block) for x in copy.postings.collect()}
+    assert posted == {(x.text[i : i + 3], x.block) for x in copy.corpus.collect() for i in range(len(x.text) - 2)} and len(posted) == copy.postings.count()
+    assert copy.phrases is None and copy.totals().first().n_nodes == phrases.lz78_phrases(own).count() + 1
+
+
+def test_small_blocks_are_written_by_few_tasks(spark, random_texts):
+    from needlework.plans.index import _blocked
+
+    dealt = _blocked(docs(spark, random_texts), 1000, 20)
+    assert dealt.rdd.getNumPartitions() <= 8 < dealt.select("block").distinct().count()
+
+
+ASKED = {
+    "topk_cache_misses": ["topk_lists"],
+}
+
+
+@pytest.mark.parametrize("name", ASKED)
+def test_only_asked_parts_are_built(spark, monkeypatch, sf, name):
+    from needlework import catalogue
+    from needlework.plans.index import saved_parts
+
+    monkeypatch.setattr(catalogue, "_built", {})
+    assert catalogue.queries()[name](spark, sf).count() > 0
+    assert saved_parts(spark, *catalogue._built.values()) == [*ASKED[name], "meta"]
+
+
 def test_symbols(spark, random_texts):
     from collections import Counter
 
